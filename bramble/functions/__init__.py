@@ -1,0 +1 @@
+"""Scalar expressions, functions and aggregates."""

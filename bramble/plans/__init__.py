@@ -1,0 +1 @@
+"""Data changes, feature gates and planning."""

@@ -1,0 +1 @@
+"""Tables, lookups and literal rows."""

@@ -1,0 +1 @@
+"""The reference semantics have finite plans alone: there is nothing to stream here."""
