@@ -215,19 +215,13 @@ def is_unknown(x: Any) -> Expr:
 
 def _shift(t: Expr, i: Expr, sign: int) -> Expr:
     """Temporal plus or minus interval: of the temporal's type, also where Spark would make it a timestamp."""
-    if t.type.kind == "time_of_day":
-        micros = F.lit(86_400_000_000)
-        since = F.expr("TIME'00:00:00'")
-        moved = F.pmod(_micros(F.call_function("time_diff", F.lit("MICROSECOND"), since, t.column)) + sign * _interval_micros(i.column), micros)
-        return Expr(t.type, F.call_function("time_from_micros", moved))
+    if t.type.kind == "time_of_day":  # around the clock; Spark's own functions of TIME are switched off by default
+        at = F.concat(F.lit("1970-01-02 "), t.column.cast("string")).cast("timestamp_ntz")
+        return Expr(t.type, F.date_format(at + i.column if sign > 0 else at - i.column, "HH:mm:ss.SSSSSS").cast("time(6)"))
     moved = t.column + i.column if sign > 0 else t.column - i.column
     return Expr(t.type, moved.cast("date") if t.type.kind == "date" else moved)
 
 
-def _micros(c: Column) -> Column:
-    return c.cast("long")
-
-
 def _interval_micros(c: Column) -> Column:
     return (c.cast("interval day to second").cast("decimal(38,6)") * 1_000_000).cast("long")
 

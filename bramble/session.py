@@ -40,6 +40,7 @@ class Session:
             self.catalog.add_schema(Schema("public"))
             standard_aggregates(self.catalog.add_schema(Schema("builtin")))
         self._frames: dict[str, DataFrame] = {}
+        spark.conf.set("spark.sql.timeType.enabled", "true")
         for k, v in self.gates.spark_conf().items():
             spark.conf.set(k, v)
 
