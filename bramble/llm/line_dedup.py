@@ -14,7 +14,9 @@ others emit no variants. Matches are verified on the words themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, materialize, table
@@ -39,32 +41,49 @@ def _variants(words: Column) -> Column:
     A hash is the exclusive-or of a hash for each word and place; places behind the deleted
     one move up. Sums before a place are taken over blocks, so a line of n words costs n * 64.
     """
-    here = F.transform(words, lambda w, i: F.xxhash64(w, i))
-    moved = F.transform(words, lambda w, i: F.xxhash64(w, i - 1))
-    both = F.zip_with(here, moved, lambda a, b: a.bitwiseXOR(b))
-    n = F.size(words)
-    sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda k: _xor(F.slice(both, k * _BLOCK + 1, _BLOCK)))
-    before = F.transform(sums, lambda _, k: _xor(F.slice(sums, 1, k)))
-    deleted = F.transform(
-        moved,
-        lambda m, i: F.struct(
-            (i + 1).alias("place"),
-            m.bitwiseXOR(_xor(moved)).bitwiseXOR(F.get(before, F.floor(i / _BLOCK).cast("int"))).bitwiseXOR(_xor(F.slice(both, (F.floor(i / _BLOCK) * _BLOCK + 1).cast("int"), (i % _BLOCK).cast("int")))).alias("key"),
-        ),
-    )
-    return F.concat(F.array(F.struct(F.lit(0).alias("place"), _xor(here).alias("key"))), deleted)
+    def deleted(x: Column) -> Column:
+        """x: here and moved hashes, both of them combined, sums before each block, and the sum of all moved ones."""
+        return F.transform(
+            x["moved"],
+            lambda m, i: F.struct(
+                (i + 1).alias("place"),
+                m.bitwiseXOR(x["total"]).bitwiseXOR(F.get(x["before"], F.floor(i / _BLOCK).cast("int"))).bitwiseXOR(_xor(F.slice(x["both"], (F.floor(i / _BLOCK) * _BLOCK + 1).cast("int"), (i % _BLOCK).cast("int")))).alias("key"),
+            ),
+        )
+
+    def hashes(w: Column) -> Column:
+        return F.struct(F.transform(w, lambda v, i: F.xxhash64(v, i)).alias("here"), F.transform(w, lambda v, i: F.xxhash64(v, i - 1)).alias("moved"))
+
+    def blocks(x: Column) -> Column:
+        both = F.zip_with(x["here"], x["moved"], lambda c, d: c.bitwiseXOR(d))
+        return _let(both, lambda z: F.struct(x["here"].alias("here"), x["moved"].alias("moved"), z.alias("both"), F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / _BLOCK).cast("int")), lambda k: _xor(F.slice(z, k * _BLOCK + 1, _BLOCK))).alias("sums")))
+
+    def sums(x: Column) -> Column:
+        return F.struct(x["moved"].alias("moved"), x["both"].alias("both"), F.transform(x["sums"], lambda _, k: _xor(F.slice(x["sums"], 1, k))).alias("before"), _xor(x["moved"]).alias("total"), _xor(x["here"]).alias("own"))
+
+    def keys(x: Column) -> Column:
+        return F.concat(F.array(F.struct(F.lit(0).alias("place"), x["own"].alias("key"))), deleted(x))
+
+    return _let(words, lambda w: _let(hashes(w), lambda x: _let(blocks(x), lambda y: _let(sums(y), keys))))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
     """Whether two arrays of words are the same or one word apart."""
     n, m = F.size(a), F.size(b)
     short = F.least(n, m)
-    differs = F.array_position(F.zip_with(F.slice(a, 1, short), F.slice(b, 1, short), lambda x, y: x != y), True).cast("int")
-    same = F.when(differs == 0, short).otherwise(differs - 1)
-    tail = short - same
-    rest = F.greatest(tail - F.when(n == m, 1).otherwise(0), F.lit(0))
-    ends = F.when(rest > 0, F.slice(a, n - rest + 1, rest) == F.slice(b, m - rest + 1, rest)).otherwise(True)
-    return (F.abs(n - m) <= 1) & ends
+
+    def ends(differs: Column) -> Column:
+        same = F.when(differs == 0, short).otherwise(differs - 1)
+        rest = F.greatest(short - same - F.when(n == m, 1).otherwise(0), F.lit(0)).cast("int")
+        return F.when(rest > 0, F.slice(a, n - rest + 1, rest) == F.slice(b, m - rest + 1, rest)).otherwise(True)
+
+    first = F.array_position(F.zip_with(F.slice(a, 1, short), F.slice(b, 1, short), lambda x, y: x != y), True)
+    return (F.abs(n - m) <= 1) & _let(first.cast("int"), ends)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
