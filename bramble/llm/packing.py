@@ -119,8 +119,9 @@ class Packer:
         pen[doc_ends] = 0.0
         pen[0] = 0.0
         cuts = np.flatnonzero(pen < np.inf)
-        for k in np.flatnonzero(np.diff(cuts) > STRIDE).tolist():
-            pen[cuts[k] + STRIDE : cuts[k + 1] : STRIDE] = WORD_PENALTY
+        stride = min(STRIDE, self.limit)
+        for k in np.flatnonzero(np.diff(cuts) > stride).tolist():
+            pen[cuts[k] + stride : cuts[k + 1] : stride] = WORD_PENALTY
         cuts = np.flatnonzero(pen < np.inf)
         return cuts.tolist(), pen[cuts].tolist()
 
