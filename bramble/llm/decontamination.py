@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, materialize, slices
+from .common import alnum_words, slices
 
 WINDOW = 8
 #: Bytes of test items in one automaton; larger benchmarks are dealt over several, one after another.
@@ -203,19 +203,15 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     parts = [scanner(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes, window)]
     if len(parts) == 1:
         return parts[0].withColumnRenamed("id", id_col)
-    keyed = [materialize(p.where("size(items) > 0"), "decontam") for p in parts]
-    hits = keyed[0]
-    for p in keyed[1:]:
-        hits = hits.unionByName(p)
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p.where("size(items) > 0"))
     hits = hits.groupBy("id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merge = F.aggregate(
         "runs", F.array().cast("array<struct<start:long,stop:long>>"),
         lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= r["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], r["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(r))),
     )
-    hits = hits.withColumn("runs", merge)
-    rest = parts[0].select("id", "n_words").distinct().join(hits.select("id", "n_words"), ["id", "n_words"], "left_anti")
-    none = rest.withColumns({"runs": F.array().cast("array<struct<start:long,stop:long>>"), "items": F.array().cast("array<string>")})
-    return hits.unionByName(none).withColumnRenamed("id", id_col)
+    return hits.withColumn("runs", merge).withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
