@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from .common import crc_mod, slices, table
 #: Labelled rows that are learned from, about (by a hash of their ids): the bound of the fit.
 FIT_ROWS = 8000
 LEXICON, LEAST_DOCS = 600, 3
+#: A term must go with the label in this share of its documents, at the lower end of a 90 % interval.
+LEAST_PRECISION = 0.4
 GROUPS = 8
 PREFIX = 5
 ANNOTATOR = 0.97
@@ -35,10 +38,14 @@ _SIGNS = re.compile(r"[^\w\s.,;:'\"()-]")
 
 
 def terms(text: str | None) -> tuple[set[str], int]:
-    """Distinct lower-case words and word beginnings (with a trailing *) of a text, and its number of words."""
+    """Distinct lower-case words of a text, beginnings that words share (with a * for one word, two and four), and its number of words."""
     words = _WORDS.findall(text.lower()) if text else []
     own = set(words)
-    return own | {w[:PREFIX] + "*" for w in own if len(w) > PREFIX}, len(words)
+    starts = Counter([w[:PREFIX] for w in own if len(w) > PREFIX])
+    own.update([p + "*" for p in starts])
+    own.update([p + "**" for p, n in starts.items() if n >= 2])
+    own.update([p + "****" for p, n in starts.items() if n >= 4])
+    return own, len(words)
 
 
 def patterns(text: str | None, n_words: int) -> list[float]:
@@ -71,7 +78,7 @@ class Features:
             1 if own & INSULTS else -1,
             1 if len(hits) >= 3 else 0 if not hits else -1,
             1 if len(hits) >= 6 else -1,
-            1 if strength >= 20 else 0 if strength < 5 else -1,
+            1 if strength >= 1.2 else 0 if strength < 0.4 else -1,
             0 if len(groups) <= 1 else -1,
             1 if form[0] > 0.5 else -1,
             1 if form[1] > 0.2 else -1,
@@ -83,7 +90,7 @@ class Features:
         x[hits] = 1.0
         k = len(self.lexicon)
         strength = self.weight[hits].sum() if hits else 0.0
-        x[k : k + 9] = [1.0, min(1.0, len(hits) / 5), min(3.0, strength / 20), float(bool(own & INSULTS)), min(2.0, 20 * len(hits) / (n_words + 20)), *form]
+        x[k : k + 9] = [1.0, min(1.0, len(hits) / 5), min(3.0, strength), float(bool(own & INSULTS)), min(2.0, 20 * len(hits) / (n_words + 20)), *form]
         return x
 
 
@@ -157,6 +164,13 @@ class ToxicityModel:
         return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
 
 
+def precision_bound(toxic, clean):
+    """Lower end of Wilson's interval for the share of toxic documents (of numbers or Spark columns)."""
+    n, z = toxic + clean, 1.645
+    share = toxic / n
+    return (share + z * z / (2 * n) - z * ((share * (1 - share) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from about `fit_rows` of the labelled rows, chosen by a hash of their ids.
 
@@ -185,9 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
         weights[0] = np.log(rate / (1 - rate)) if total else -1.0
         return ToxicityModel(features, weights)
     counts = rows.mapInArrow(words, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= LEAST_DOCS)
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(a / (toxic - F.col("toxic") + 0.5)) - F.log(b / (total - toxic - F.col("clean") + 0.5))
-    best = counts.withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where("z > 2.5").orderBy(F.desc("z"), "w").limit(LEXICON).collect()
+    best = counts.withColumn("z", precision_bound(F.col("toxic"), F.col("clean"))).where(F.col("z") >= LEAST_PRECISION).orderBy(F.desc("z"), "w").limit(LEXICON).collect()
     features = Features([(r["w"], r["z"]) for r in best])
     sent = docs.sparkSession.sparkContext.broadcast(features)
 
