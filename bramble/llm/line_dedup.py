@@ -93,7 +93,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id each counts as written, and a line number gone from one goes from all.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    lines = texts.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), line_words)).alias("pos", "words")).where(F.size("words") >= min_words)
     n = F.size("words")
 
     def halves(m: Column, name: str) -> Column:
@@ -109,8 +109,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     half = first.select("first", F.explode("halves").alias("half"))
     often = half.groupBy("half").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("half")
     near = half.join(often, "half").select("first.doc_id", "first.pos").distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("wanted"))
-    held = texts.join(near, "doc_id").select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.array_contains("wanted", F.col("pos")))
-    held = held.select("doc_id", "pos", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    picked = _let(F.split("text", "\n"), lambda own: F.transform("wanted", lambda p: F.struct(p.alias("pos"), line_words(F.get(own, p)).alias("words"))))
+    held = texts.join(near, "doc_id").select("doc_id", F.explode(picked).alias("l")).select("doc_id", "l.pos", "l.words").where(F.size("words") >= min_words)
     held = materialize(held.groupBy("doc_id", "pos").agg(F.min("words").alias("words")), "near")
 
     variants = held.select(place.alias("at"), F.size("words").alias("n"), F.explode(_variants(F.col("words"))).alias("v")).select("at", F.when(F.col("v.place") == 0, F.col("n")).otherwise(F.col("n") - 1).alias("len"), "v.key", "v.place")
