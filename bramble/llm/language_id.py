@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +29,7 @@ ROUNDS, SMOOTH = 3, 0.01
 UNKNOWN = 1e-7
 LONGEST_WORD = 32
 UNDETERMINED = "und"
-_CACHE = 200_000
+_CACHE = 300_000
 _RUNS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 
@@ -60,24 +61,10 @@ def split_word(word: str) -> list[str]:
     return [(_START if i == 0 else "") + word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
 
 
-def forward(word: str, probs: dict[str, tuple[float, ...]], longest: int, n: int) -> list[list[float]]:
-    """alpha[j][k]: the probability in language k of the word's first j letters, over all segmentations."""
-    size = len(word)
-    alpha = [[1.0] * n]
-    unknown = (UNKNOWN,) * n
-    for j in range(1, size + 1):
-        total = [0.0] * n
-        for i in range(max(0, j - longest), j):
-            p = probs.get(word[i:j])
-            if p is None:
-                if i < j - 1:
-                    continue
-                p = unknown
-            a = alpha[i]
-            for k in range(n):
-                total[k] += a[k] * p[k]
-        alpha.append(total)
-    return alpha
+@lru_cache(maxsize=64)
+def _spans(size: int, longest: int) -> list[tuple[int, int]]:
+    """Places that a piece can take in a word, by their ends."""
+    return [(i, j) for j in range(1, size + 1) for i in range(max(0, j - longest), j)]
 
 
 def expected_counts(word: str, probs: dict[str, float], longest: int) -> dict[str, float]:
@@ -103,57 +90,106 @@ class LanguageModel:
     """Piece probabilities of each language; small enough to be sent to every worker (vocabulary size times languages)."""
 
     def __init__(self, languages: list[str], probs: dict[str, tuple[float, ...]], prior: list[float]):
-        self.languages, self.probs, self.prior = languages, probs, prior
+        self.languages, self.prior = languages, prior
+        self.ids = {p: i for i, p in enumerate(probs)}
+        n = len(languages)
+        #: Behind the pieces: what is no piece, and an unknown letter.
+        self.table = np.array([*probs.values(), (0.0,) * n, (UNKNOWN,) * n]).reshape(len(probs) + 2, n)
         self.longest = max(map(len, probs), default=1)
 
-    def word(self, run: str) -> list[float] | None:
-        """Log likelihoods of a run of letters in each language; None if it has no letter."""
-        units = split_word(run)
-        if not units:
-            return None
-        n = len(self.languages)
-        out = [0.0] * n
-        for unit in units:
-            for k, p in enumerate(forward(unit, self.probs, self.longest, n)[-1]):
-                out[k] += math.log(max(p, 1e-300))
+    def likelihoods(self, units: list[str]) -> np.ndarray:
+        """Probabilities of units of one length in each language, over all segmentations: the forward algorithm, for all units at once."""
+        spans, get = _spans(len(units[0]), self.longest), self.ids.get
+        none, unknown = len(self.ids), len(self.ids) + 1
+        places = [(i, j, unknown if j == i + 1 else none) for i, j in spans]
+        ids = np.array([get(u[i:j], d) for u in units for i, j, d in places], np.int32).reshape(len(units), len(spans))
+        alpha = np.zeros((len(units[0]) + 1, len(units), len(self.languages)))
+        alpha[0] = 1.0
+        for k, (i, j) in enumerate(spans):
+            alpha[j] += alpha[i] * self.table[ids[:, k]]
+        return alpha[-1]
+
+    def words(self, runs: list[str]) -> np.ndarray:
+        """A row for each run of letters: its log likelihood in each language, then 1, or zeros if it has no letter."""
+        out = np.zeros((len(runs), len(self.languages) + 1))
+        by_size: dict[int, list[tuple[int, str]]] = {}
+        for k, run in enumerate(runs):
+            for unit in split_word(run):
+                by_size.setdefault(len(unit), []).append((k, unit))
+        for units in by_size.values():
+            for at in range(0, len(units), 20_000):
+                part = units[at : at + 20_000]
+                rows = np.array([k for k, _ in part])
+                np.add.at(out[:, :-1], rows, np.log(np.maximum(self.likelihoods([u for _, u in part]), 1e-300)))
+                out[rows, -1] = 1.0
         return out
 
 
 class Scorer:
-    """Scores texts with a bounded cache of words."""
+    """Scores texts with a bounded cache of words, of two generations: a word in use when the younger fills up is kept."""
 
     def __init__(self, model: LanguageModel):
-        self.model, n = model, len(model.languages)
+        self.model, self.width = model, len(model.languages) + 1
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((_CACHE + 1, n + 1))
-        self.prior = np.log(np.maximum(model.prior, 1e-12)) if n else np.zeros(0)
-
-    def _index(self, word: str) -> int:
-        i = len(self.rows)
-        self.rows[word] = i
-        value = self.model.word(word)
-        self.scores[i] = [0.0] * (len(self.model.languages) + 1) if value is None else [*value, 1.0]
-        return i
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = letter_runs(text)
-        if not words or not self.model.languages:
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.model.languages) + 1)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            if len(self.rows) + len(part) > _CACHE:
-                self.rows.clear()
-            get = self.rows.get
-            found = [i if (i := get(w)) is not None else self._index(w) for w in part]
-            total += self.scores[found].sum(axis=0)
-        if not total[-1]:
+        self.scores = np.zeros((_CACHE, self.width))
+        self.older, self.older_scores = {}, self.scores
+        self.prior = np.log(np.maximum(model.prior, 1e-12)) if model.languages else np.zeros(0)
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        """Scores of all words of these parts, which are fewer than the cache holds."""
+        new = {w for p in parts for w in p if w not in self.rows}
+        if len(self.rows) + len(new) > _CACHE:
+            self.older, self.older_scores = self.rows, self.scores
+            self.rows, self.scores = {}, np.zeros((_CACHE, self.width))
+            new = {w for p in parts for w in p}
+        at = len(self.rows)
+        kept = [w for w in new if w in self.older]
+        fresh = [w for w in new if w not in self.older]
+        self.scores[at : at + len(kept)] = self.older_scores[[self.older[w] for w in kept]]
+        self.scores[at + len(kept) : at + len(new)] = self.model.words(fresh)
+        self.rows.update(zip(kept + fresh, range(at, at + len(new)), strict=True))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        total = np.zeros((len(texts), self.width))
+        pending: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            self._learn([p for _, p in pending])
+            for k, part in pending:
+                total[k] += self.scores[list(map(self.rows.__getitem__, part))].sum(axis=0)
+            pending.clear()
+
+        for k, text in enumerate(texts if self.model.languages else []):
+            words = letter_runs(text)
+            for at in range(0, len(words), _CACHE // 8):
+                pending.append((k, words[at : at + _CACHE // 8]))
+                size += len(pending[-1][1])
+                if size > _CACHE // 4:
+                    flush()
+                    size = 0
+        flush()
+        return [self._best(row) for row in total]
+
+    def _best(self, row: np.ndarray) -> tuple[str, float]:
+        if not row[-1]:
             return UNDETERMINED, 0.0
-        like = total[:-1] + self.prior
+        like = row[:-1] + self.prior
         best = int(like.argmax())
         return self.model.languages[best], float(1.0 / np.exp(like - like[best]).sum())
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, sent) -> Scorer:
+    """A Python worker's scorer, with its cache, lives on between tasks of one query."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(sent.value)
+    return _scorers[name]
+
+
 def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn a model from the rows of `docs` with a language.
 
@@ -223,12 +259,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     model knows no language. Ties go to the first language in order. Repeated rows give a row each.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = _scorer(name, sent)
         for batch in slices(batches):
-            found = [scorer.predict(t) for t in batch.column(1).to_pylist()]
+            found = scorer.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text" if id_col != "text" else "text_")).mapInArrow(run, schema)
@@ -237,12 +273,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of which the language is one that the model knows, with a posterior of min_score or more; all columns."""
     at = docs.columns.index(text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = _scorer(name, sent)
         for batch in slices(batches):
-            found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
+            found = scorer.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
