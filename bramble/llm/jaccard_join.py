@@ -7,9 +7,11 @@ n1 parts, some have at most SPARE differing shingles, and there all but SPARE su
 are equal. A signature is a set's content in SECOND - SPARE sub-parts of a part; every
 such subset is enumerated, so that similar sets share a signature: no link is lost.
 
-Sets that share a signature are candidates; candidates are verified on whole sets. To
-find components, a set is held against the first of its bucket; the rest of a bucket is
-compared only across components that are still apart.
+Sets that share a signature are candidates. Counts of a set's shingles in 32 slots bound
+from below by how many shingles two sets differ; candidates that differ by too many are
+dropped before any text moves, the others are verified on whole sets. To find components,
+a set is held against the first of its bucket; the rest of a bucket is compared only
+across components that are still apart.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,9 @@ from .components import connected_components
 
 WORDS, PERCENT = 5, 80
 SECOND, SPARE = 3, 1
+#: Slots of the counts, eight to a long.
+SLOTS = 32
+_COUNTS = [f"k{i}" for i in range(SLOTS // 8)]
 _CACHE = 300_000
 
 
@@ -111,16 +116,32 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, split) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the set."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("whole", T.BinaryType())])
+    """doc_id, n_shingles, a 128-bit digest of the set, and its counts in slots (255 stands for more)."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("twin", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("whole", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words, split)
         for batch in slices(batches):
             sets = [shingle(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), *map(pa.array, _slot_counts(sets).T)], names=schema.names)
+
+    return docs.withColumn("twin", F.xxhash64("text")).mapInArrow(run, schema)
+
+
+def _slot_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of longs for each set; slots by the top bits of the shingles' hashes."""
+    counts = np.array([np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=SLOTS) for s in sets], np.int64).reshape(-1, SLOTS)
+    return np.ascontiguousarray(np.minimum(counts, 255).astype(np.uint8)).view("<i8")
 
-    return docs.mapInArrow(run, schema)
+
+def _may_be_similar(percent: int, a: str = "a_", b: str = "b_") -> Column:
+    """Whether sizes and counts of two sets leave it open that they are similar. Never false for similar sets."""
+    n, m = F.col(a + "n_shingles"), F.col(b + "n_shingles")
+    apart = F.lit(0).cast("long")
+    for c in _COUNTS:
+        for shift in range(0, 64, 8):
+            apart = apart + F.abs(F.shiftright(F.col(a + c), shift).bitwiseAND(F.lit(255)) - F.shiftright(F.col(b + c), shift).bitwiseAND(F.lit(255)))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
 def _signature_rows(docs: DataFrame, words: int, percent: int, split) -> DataFrame:
@@ -167,7 +188,9 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     Two documents link where 100 * intersection >= percent * union of their shingle sets.
     Null and empty texts, or those without words, have no shingles and link with nothing.
-    Repeated ids are rows of their own that share what links them; rows without an id are left out.
+    Rows of one id share a component; if their texts differ, one with words of them (that of
+    the least hash) stands for the id where sets are similar but not equal. Rows without an
+    id are left out.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     sets = materialize(_sets(docs, words, split), "sets")
@@ -178,18 +201,24 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = _signature_rows(docs, words, percent, split).withColumn("first", F.min("doc_id").over(bucket)).withColumn("last", F.max("doc_id").over(bucket)).where("first <> last")
     shared = materialize(rows.select("sig", "doc_id", "first"), "buckets")
     members = shared.select("doc_id").distinct()
-    texts = materialize(docs.join(members, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    texts = materialize(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(members, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
+
+    counts = sets.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("twin", "n_shingles", *_COUNTS)).alias("s")).select("doc_id", "s.n_shingles", *[f"s.{c}" for c in _COUNTS])
+
+    def side(name: str) -> DataFrame:
+        return counts.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n_shingles", *_COUNTS)])
 
-    stars = materialize(shared.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    pairs = shared.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_be_similar(percent)).select("a", "b"), "stars")
     edges = materialize(_verified(stars, texts, words, percent, split), "links")
     same = sets.where("n_shingles > 0").join(classes, "whole").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     found = connected_components(edges.union(same))
 
     held = shared.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", "first", F.coalesce("component", "doc_id").alias("c"))
     apart = held.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).where("low <> high and doc_id <> first").select("sig", "doc_id", "c")
-    apart = materialize(apart, "apart")
-    left, right = apart.select("sig", F.col("doc_id").alias("a"), F.col("c").alias("ca")), apart.select("sig", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    rest = materialize(left.join(right, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    apart = materialize(apart.join(counts, "doc_id"), "apart")
+    left, right = (apart.select("sig", F.col("doc_id").alias(x), F.col("c").alias("c" + x), *[F.col(c).alias(f"{x}_{c}") for c in ("n_shingles", *_COUNTS)]) for x in "ab")
+    rest = materialize(left.join(right, "sig").where((F.col("ca") < F.col("cb")) & _may_be_similar(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = materialize(_verified(rest, texts, words, percent, split), "links")
         if not more.isEmpty():
