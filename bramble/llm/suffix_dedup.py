@@ -28,8 +28,8 @@ from .common import digest, materialize, mix64, slices, table
 
 LENGTH, GRAM = 400, 64
 SHARD_BYTES = 2 << 20
-#: Runs of one anchor that one shard takes.
-RUNS_A_SHARD = 2000
+#: Runs of one anchor that one shard takes: about the same number of bytes.
+RUNS_A_SHARD = 4000
 _SLICE = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POSITION = np.uint64((1 << 24) - 1)
@@ -114,8 +114,8 @@ def refine(data: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(data: np.ndarray, order: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
     """Common prefix of each suffix in `order` with the one before it, cut at its text's end: Kasai's method.
 
-    In the order of the text, a suffix whose left neighbour has the same pair one place back
-    has one byte less in common; only the others are compared, eight bytes at a time.
+    In the order of the text, a suffix whose left neighbour has the same pair one place back,
+    with an equal byte, has one byte less in common; only the others are compared, eight bytes at a time.
     """
     n = len(order)
     if not n:
@@ -124,7 +124,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, ends: np.ndarray, most:
     by_text = np.argsort(order, kind="stable")
     i, j = order[by_text], before[by_text]
     room = np.where(j < 0, 0, np.minimum(ends[i] - i, ends[np.maximum(j, 0)] - j))
-    follows = np.concatenate([[False], (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1) & (j[:-1] >= 0) & (ends[i[1:]] == ends[i[:-1]]) & (ends[np.maximum(j[1:], 0)] == ends[np.maximum(j[:-1], 0)])])
+    follows = np.concatenate([[False], (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1) & (j[:-1] >= 0) & (data[i[:-1]] == data[np.maximum(j[:-1], 0)]) & (ends[i[1:]] == ends[i[:-1]]) & (ends[np.maximum(j[1:], 0)] == ends[np.maximum(j[:-1], 0)])])
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.zeros(len(data), np.uint64)
     for b in range(8):
@@ -254,6 +254,7 @@ def _shard_result(rows: list[tuple], length: int, kind: pa.DataType) -> pa.Recor
     context, start, group = repeated_windows([r[4] for r in rows], length)
     size = np.bincount(group) if len(group) else group
     repeats = size[group] > 1 if len(group) else np.zeros(0, bool)
+    leads = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else repeats
     out: list[tuple] = []
     by = np.argsort(context, kind="stable")
     bounds = np.searchsorted(context[by], np.arange(len(rows) + 1))
@@ -261,8 +262,9 @@ def _shard_result(rows: list[tuple], length: int, kind: pa.DataType) -> pa.Recor
         own = by[bounds[k] : bounds[k + 1]]
         if copies == 1:
             out += [(doc, twin, a + first, b + first, None, shard) for a, b in _intervals(start[own[repeats[own]]], length)]
-        if shards > 1:
-            out += [(doc if copies == 1 else None, twin, s + first, s + first + length, digest(content[s : s + length]), shard) for s in start[own].tolist()]
+        if shards > 1:  # windows that repeat here are settled: one of each goes on, to be found by other shards
+            sent = own[~repeats[own] | leads[own]]
+            out += [(doc if copies == 1 and not r else None, twin, s + first, s + first + length, digest(content[s : s + length]), shard) for s, r in zip(start[sent].tolist(), repeats[sent].tolist(), strict=True)]
     cols = list(zip(*out, strict=True)) or [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.int64())], names=["doc_id", "twin", "start", "stop", "key", "shard"])
 
