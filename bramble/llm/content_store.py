@@ -206,14 +206,15 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
-            lists = batch.column("c").to_pylist()
-            n = np.array([x["n"] or 0 for c in lists for x in c], np.int64)
-            crc = np.array([x["crc"] or 0 for c in lists for x in c], np.int64)
-            counts = np.array([len(c) for c in lists], np.int64)
-            good = [all(x["right"] for x in c) and merkle_root([x["digest"] for x in c]) == root for c, root in zip(lists, batch.column("root").to_pylist(), strict=True)]
-            ends = np.cumsum(counts)
+            lists = batch.column("c")
+            counts = np.diff(lists.offsets.to_numpy())
+            chunk = lists.flatten()
+            n, crc, right = (np.nan_to_num(chunk.field(x).to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64) for x in ("n", "crc", "right"))
+            keys, ends = chunk.field("digest").to_pylist(), np.cumsum(counts)
+            good = [merkle_root(keys[e - k : e]) == root for e, k, root in zip(ends.tolist(), counts.tolist(), batch.column("root").to_pylist(), strict=True)]
+            right = np.minimum.reduceat(right, ends - counts) > 0 if len(n) else right
             total = np.add.reduceat(n, ends - counts) if len(n) else n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("local_start"), pa.array(total, pa.int64()), pa.array(crc_combine(crc, 4 * n, counts).astype(np.int64), pa.int64()), batch.column("part"), pa.array(good, pa.bool_())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("local_start"), pa.array(total, pa.int64()), pa.array(crc_combine(crc, 4 * n, counts).astype(np.int64), pa.int64()), batch.column("part"), pa.array(np.array(good, bool) & right, pa.bool_())], names=schema.names)
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

@@ -11,7 +11,9 @@ import numpy as np
 _ODD_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85]")
 #: Letters that no normaliser composes, then ASCII signs without the apostrophe: two pre-tokens.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_CACHE = 250_000
+_SIGNS = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+#: Words of each of the two generations of a cache.
+_CACHE = 300_000
 
 
 def default_vocabulary() -> str:
@@ -28,34 +30,46 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordCache(dict):
-    """Words, as split at white space, to their ids' bytes; emptied when full."""
+    """Words, as split at white space, to their ids' bytes.
+
+    Two generations bound it: what was in use when the younger one filled up is taken
+    along when it is used again, and everything else goes when it fills up once more.
+    """
 
     def __init__(self, tokenizer, dtype: str):
         super().__init__()
-        self.tokenizer, self.dtype, self.parts = tokenizer, dtype, {}
+        self.tokenizer, self.dtype, self.older = tokenizer, dtype, {}
+        self.pieces = tokenizer.model.tokenize
         self.letters = _byte_letters()
+        ids = np.arange(tokenizer.get_vocab_size()).astype(dtype)
+        self.of = [ids[i : i + 1].tobytes() for i in range(len(ids))]
 
-    def part(self, text: str) -> bytes:
+    def _part(self, text: str) -> bytes:
         """Ids of one pre-token in lower case."""
-        out = self.parts.get(text)
-        if out is None:
-            if len(self.parts) >= _CACHE:
-                self.parts.clear()
-            pieces = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-            out = self.parts[text] = np.array([p.id for p in pieces], self.dtype).tobytes()
-        return out
+        letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        of = self.of
+        return b"".join([of[p.id] for p in self.pieces(letters)])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            if word.isascii() and word.isalpha() and word.islower():
+                out = self._part(word)
+            elif plain := _PLAIN.fullmatch(word):
+                letters, signs = plain[1].lower(), plain[2]
+                out = self[letters] if letters != word else self._part(word)
+                if signs:
+                    out += self[signs]
+            elif _SIGNS.fullmatch(word):
+                out = self._part(word)
+            else:
+                out = self.whole(word)
         if len(self) >= _CACHE:
+            self.older = dict(self)
             self.clear()
-        plain = _PLAIN.fullmatch(word)
-        if plain:
-            out = self.part(plain[1].lower()) + (self.part(plain[2]) if plain[2] else b"")
-        else:
-            out = self.whole(word)
         self[word] = out
         return out
 
