@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, materialize, table
@@ -106,9 +106,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = materialize(keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("halves").alias("halves")), "first")
     exact = keyed.select("doc_id", "pos", "h1", "h2").join(first.select("h1", "h2", "first"), ["h1", "h2"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos"))).select("doc_id", "pos")
 
-    half = first.select("first", F.explode("halves").alias("half"))
-    often = half.groupBy("half").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("half")
-    near = half.join(often, "half").select("first.doc_id", "first.pos").distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("wanted"))
+    half = first.select("first.doc_id", "first.pos", F.explode("halves").alias("half"))
+    shared = F.count("*").over(Window.partitionBy("half")) > 1  # distinct lines alone have keys here
+    near = half.withColumn("shared", shared).where("shared").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("wanted"))
     picked = _let(F.split("text", "\n"), lambda own: F.transform("wanted", lambda p: F.struct(p.alias("pos"), line_words(F.get(own, p)).alias("words"))))
     held = texts.join(near, "doc_id").select("doc_id", F.explode(picked).alias("l")).select("doc_id", "l.pos", "l.words").where(F.size("words") >= min_words)
     held = materialize(held.groupBy("doc_id", "pos").agg(F.min("words").alias("words")), "near")
