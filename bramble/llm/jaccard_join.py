@@ -7,7 +7,7 @@ n1 parts, some have at most SPARE differing shingles, and there all but SPARE su
 are equal. A signature is a set's content in SECOND - SPARE sub-parts of a part; every
 such subset is enumerated, so that similar sets share a signature: no link is lost.
 
-Sets that share a signature are candidates. Counts of a set's shingles in 32 slots bound
+Sets that share a signature are candidates. Counts of a set's shingles in 64 slots bound
 from below by how many shingles two sets differ; candidates that differ by too many are
 dropped before any text moves, the others are verified on whole sets. To find components,
 a set is held against the first of its bucket; the rest of a bucket is compared only
@@ -32,7 +32,7 @@ from .components import connected_components
 WORDS, PERCENT = 5, 80
 SECOND, SPARE = 3, 1
 #: Slots of the counts, eight to a long.
-SLOTS = 32
+SLOTS = 64
 _COUNTS = [f"k{i}" for i in range(SLOTS // 8)]
 _CACHE = 300_000
 
@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, words: int, split) -> DataFrame:
 
 def _slot_counts(sets: list[np.ndarray]) -> np.ndarray:
     """A row of longs for each set; slots by the top bits of the shingles' hashes."""
-    counts = np.array([np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=SLOTS) for s in sets], np.int64).reshape(-1, SLOTS)
+    counts = np.array([np.bincount((s >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64), minlength=SLOTS) for s in sets], np.int64).reshape(-1, SLOTS)
     return np.ascontiguousarray(np.minimum(counts, 255).astype(np.uint8)).view("<i8")
 
 
