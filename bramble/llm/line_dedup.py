@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialize, table
 
-#: Shorter lines are too common to count as copies, and stay.
+#: Shorter lines are too common to count as near copies; whether their exact copies go is the caller's choice.
 MIN_WORDS = 6
+#: Letters of scripts that are written without spaces; two of them are taken for a word.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 _BLOCK = 64
 
 
@@ -31,6 +33,17 @@ def line_words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
 
 
+def line_units(words: Column, min_words: int) -> Column:
+    """What the edit-distance stage compares of a line: its words if there are min_words, or else the letters of
+    scripts without spaces, one by one, with the words between them, if there are twice as many; or else nothing.
+    """
+    def apart(w: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(w, f"({_UNSPACED})", " $1 "), " "), lambda u: u != "")
+
+    units = F.when(F.exists(words, lambda w: w.rlike(_UNSPACED)), F.flatten(F.transform(words, apart))).otherwise(words)
+    return F.when(F.size(words) >= min_words, words).otherwise(_let(units, lambda u: F.when(F.size(u) >= 2 * min_words, u).otherwise(F.slice(u, 1, 0))))
+
+
 def _xor(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
 
@@ -86,21 +99,25 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(n - m) <= 1) & _let(first.cast("int"), ends)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, every_line: bool = False) -> DataFrame:
     """Per document that loses lines: doc_id and `gone`, the numbers of its lines (from 0) that repeat an earlier one.
 
     Rows of one id are one document if they have the same text; of different texts under an
     id each counts as written, and a line number gone from one goes from all.
+
+    With every_line the minimum is that of near copies alone: exact copies of all lines
+    with a word count, and lines of scripts without spaces are compared by letters.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    lines = texts.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), line_words)).alias("pos", "words")).where(F.size("words") >= min_words)
-    n = F.size("words")
+    lines = texts.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), line_words)).alias("pos", "words")).where(F.size("words") >= (1 if every_line else min_words))
+    lines = lines.withColumn("units", line_units(F.col("words"), min_words) if every_line else F.col("words"))
+    n = F.size("units")
 
     def halves(m: Column, name: str) -> Column:
         h = F.floor(m / 2).cast("int")
-        return F.array(F.xxhash64(F.lit("head"), m, F.slice("words", 1, h)), F.xxhash64(F.lit("tail"), m, F.slice("words", n - (m - h) + 1, m - h))).alias(name)
+        return F.array(F.xxhash64(F.lit("head"), m, F.slice("units", 1, h)), F.xxhash64(F.lit("tail"), m, F.slice("units", n - (m - h) + 1, m - h))).alias(name)
 
-    keyed = lines.select("doc_id", "pos", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"), F.concat(halves(n, "x"), halves(n - 1, "y")).alias("halves"))
+    keyed = lines.select("doc_id", "pos", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"), F.when(n > 0, F.concat(halves(n, "x"), halves(n - 1, "y"))).alias("halves"))
     keyed = materialize(keyed, "lines")
     place = F.struct("doc_id", "pos")
     first = materialize(keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("halves").alias("halves")), "first")
@@ -109,7 +126,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     half = first.select("first.doc_id", "first.pos", F.explode("halves").alias("half"))
     shared = F.count("*").over(Window.partitionBy("half")) > 1  # distinct lines alone have keys here
     near = half.withColumn("shared", shared).where("shared").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("wanted"))
-    picked = _let(F.split("text", "\n"), lambda own: F.transform("wanted", lambda p: F.struct(p.alias("pos"), line_words(F.get(own, p)).alias("words"))))
+
+    def units(line: Column) -> Column:
+        return _let(line_words(line), lambda w: line_units(w, min_words)) if every_line else line_words(line)
+
+    picked = _let(F.split("text", "\n"), lambda own: F.transform("wanted", lambda p: F.struct(p.alias("pos"), units(F.get(own, p)).alias("words"))))
     held = texts.join(near, "doc_id").select("doc_id", F.explode(picked).alias("l")).select("doc_id", "l.pos", "l.words").where(F.size("words") >= min_words)
     held = materialize(held.groupBy("doc_id", "pos").agg(F.min("words").alias("words")), "near")
 
@@ -127,15 +148,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, every_line: bool = False) -> DataFrame:
     """All columns of `docs`, plus n_lines and n_removed (names that are free), with repeated lines taken out of the text.
 
     Null texts stay null with 0 lines, empty texts have one empty line; lines under
-    min_words words stay. Repeated rows of an id lose the same lines, and count once as written.
+    min_words words stay, unless every_line is set and they repeat exactly. Repeated rows of an id lose the same lines, and count once as written.
     """
     total, removed = free_name(docs.columns, "n_lines"), free_name(docs.columns, "n_removed")
     gone, key = free_name(docs.columns, "gone"), free_name(docs.columns, "gone_id")
-    found = repeated_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    found = repeated_lines(docs, id_col, text_col, min_words, every_line).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
     out = docs.join(found, F.col(id_col) == F.col(key), "left")
     lines = F.split(text_col, "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")

@@ -88,6 +88,32 @@ def test_lines(spark):
     assert (104, 0) in gone and drop_lines(df.limit(0)).count() == 0
 
 
+def test_every_line(spark):
+    han = "今天天气很好我们去公园散步吧大家"
+    docs = [
+        (1, "Menu\nshort line here\n\nmenu \none two three four five six\n" + han),
+        (2, "Short  line here\nshort line there\n\none two three four five seven\n" + han.replace("公", "花")),
+        (3, han + "\n今天很好\n今天天好"),
+        (4, "今天很好\nเมนู\nเมนู"),
+        (5, None),
+        (6, ""),
+        (7, "---\n---\n \n "),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in drop_lines(df, every_line=True).collect()}
+    assert got == {
+        1: ("Menu\nshort line here\n\none two three four five six\n" + han, 1),
+        2: ("short line there\n", 3),
+        3: ("今天很好\n今天天好", 1),
+        4: ("เมนู", 2),
+        5: (None, 0),
+        6: ("", 0),
+        7: ("---\n \n ", 1),
+    }
+    stage = pytest.importorskip("corpus_pipeline").line_dedup
+    assert {r["doc_id"]: r["text"] for r in stage(spark, df, "").collect()} == {k: t for k, (t, _) in got.items()}
+
+
 def sets(text, k):
     w = text.encode().lower().split() if text else []
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
