@@ -28,6 +28,9 @@ FIT_DOCS = 400
 ROUNDS, SMOOTH = 3, 0.01
 UNKNOWN = 1e-7
 LONGEST_WORD = 32
+#: A text is foreign to its language if its log likelihood per letter is FLOOR_MARGIN below that of all but this share of
+#: the language's training documents. Texts of n letters get SHORT_TEXT / sqrt(n) on top: their means scatter.
+FLOOR_SHARE, FLOOR_MARGIN, SHORT_TEXT = 0.01, 0.5, 3.0
 UNDETERMINED = "und"
 _CACHE = 300_000
 _RUNS = re.compile(r"[^\W\d_]+")
@@ -91,6 +94,8 @@ class LanguageModel:
 
     def __init__(self, languages: list[str], probs: dict[str, tuple[float, ...]], prior: list[float]):
         self.languages, self.prior = languages, prior
+        #: The least `likelihood_per_letter` of a text in each language; a language without training texts has none.
+        self.floors: dict[str, float] = {}
         self.ids = {p: i for i, p in enumerate(probs)}
         n = len(languages)
         #: Behind the pieces: what is no piece, and an unknown letter.
@@ -110,7 +115,7 @@ class LanguageModel:
         return alpha[-1]
 
     def words(self, runs: list[str]) -> np.ndarray:
-        """A row for each run of letters: its log likelihood in each language, then 1, or zeros if it has no letter."""
+        """A row for each run of letters: its log likelihood in each language, then its letters (and start sign), or zeros if it has no letter."""
         out = np.zeros((len(runs), len(self.languages) + 1))
         by_size: dict[int, list[tuple[int, str]]] = {}
         for k, run in enumerate(runs):
@@ -121,10 +126,15 @@ class LanguageModel:
                 part = units[at : at + 20_000]
                 rows = np.array([k for k, _ in part])
                 np.add.at(out[:, :-1], rows, np.log(np.maximum(self.likelihoods([u for _, u in part]), 1e-300)))
-                out[rows, -1] = 1.0
+                np.add.at(out[:, -1], rows, len(part[0][1]))
         return out
 
 
+def likelihood_per_letter(total: float, letters: float) -> float:
+    """An absolute measure of how well a text fits a language, whatever other languages are known."""
+    return total / letters + SHORT_TEXT / math.sqrt(letters)
+
+
 class Scorer:
     """Scores texts with a bounded cache of words, of two generations: a word in use when the younger fills up is kept."""
 
@@ -150,6 +160,21 @@ class Scorer:
         self.rows.update(zip(kept + fresh, range(at, at + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [self._best(row) for row in self.totals(texts)]
+
+    def known(self, texts: list[str | None], min_score: float) -> list[bool]:
+        """Whether texts are in a language of the model: by posterior, and by the likelihood itself."""
+        out = []
+        for row in self.totals(texts):
+            lang, score = self._best(row)
+            out.append(lang != UNDETERMINED and score >= min_score and self.fit(row, lang) >= self.model.floors.get(lang, -math.inf))
+        return out
+
+    def fit(self, row: np.ndarray, lang: str) -> float:
+        return likelihood_per_letter(float(row[self.model.languages.index(lang)]), float(row[-1]))
+
+    def totals(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: log likelihood in each language, then letters."""
         total = np.zeros((len(texts), self.width))
         pending: list[tuple[int, list[str]]] = []
         size = 0
@@ -169,7 +194,7 @@ class Scorer:
                     flush()
                     size = 0
         flush()
-        return [self._best(row) for row in total]
+        return total
 
     def _best(self, row: np.ndarray) -> tuple[str, float]:
         if not row[-1]:
@@ -190,12 +215,13 @@ def _scorer(name: str, sent) -> Scorer:
     return _scorers[name]
 
 
-def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", floors: bool = True) -> LanguageModel:
     """Learn a model from the rows of `docs` with a language.
 
     About `fit_docs` documents of each language are read, chosen by a hash of their ids
     (all where a language has fewer). What comes to the driver is bounded by the
-    vocabulary's size times the number of languages.
+    vocabulary's size times the number of languages, and a number for each document read.
+    Without floors the model tells languages apart, but not texts that are in none of them.
     """
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
@@ -249,7 +275,24 @@ def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS
             counts[r["lang"]][r["piece"]] += r["n"]
         probs = {lang: {p: v / total for p, v in c.items()} for lang, c in counts.items() if (total := sum(c.values()))}
     everything = sum(sizes.values())
-    return LanguageModel(languages, {p: tuple(probs[lang][p] for lang in languages) for p in pieces}, [sizes[lang] / everything for lang in languages])
+    model = LanguageModel(languages, {p: tuple(probs[lang][p] for lang in languages) for p in pieces}, [sizes[lang] / everything for lang in languages])
+    if not floors:
+        return model
+    sent = context.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)  # for few texts: gone with the task
+        for batch in slices(batches):
+            langs, totals = batch.column("lang").to_pylist(), scorer.totals(batch.column("text").to_pylist())
+            found = [(lang, scorer.fit(row, lang)) for lang, row in zip(langs, totals, strict=True) if row[-1]]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in found], pa.string()), "fit": pa.array([x[1] for x in found], pa.float64())})
+
+    fits: dict[str, list[float]] = {}
+    for r in sample.select("lang", "text").mapInArrow(measure, "lang string, fit double").collect():
+        fits.setdefault(r["lang"], []).append(r["fit"])
+    sent.unpersist()
+    model.floors = {lang: float(np.quantile(v, FLOOR_SHARE)) - FLOOR_MARGIN for lang, v in fits.items()}
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,20 +314,23 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of which the language is one that the model knows, with a posterior of min_score or more; all columns."""
+    """The rows of which the language is one that the model knows; all columns.
+
+    That takes a posterior of min_score or more and, as a posterior only compares the known
+    languages, a likelihood per letter that is not below the language's floor.
+    """
     at = docs.columns.index(text_col)
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(name, sent)
         for batch in slices(batches):
-            found = scorer.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array(scorer.known(batch.column(at).to_pylist(), min_score), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(crc_mod("doc_id", 3) != 1))
+    model = fit(docs.where(crc_mod("doc_id", 3) != 1), floors=False)
     return identify(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

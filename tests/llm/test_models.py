@@ -56,6 +56,26 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in L.identify(docs, none).collect()} == {"und"} and L.identify(docs.limit(0), model).count() == 0
 
 
+@have_data
+def test_unlearned_languages_go(spark):
+    rng = random.Random(14)
+    junk = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60))
+    foreign = [
+        "Сегодня утром мы пошли в парк и долго гуляли там вместе с друзьями потому что погода была очень хорошая",
+        "Tänään aamulla menimme puistoon ja kävelimme siellä pitkään ystävien kanssa koska sää oli todella hyvä",
+        "Dzisiaj rano poszliśmy do parku i długo tam spacerowaliśmy z przyjaciółmi ponieważ pogoda była bardzo ładna",
+        "今日は天気がとても良いので公園へ散歩に行きました",
+        junk,
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = L.fit(docs.where("doc_id % 2 = 0"))
+    texts = spark.createDataFrame([(-i, t, "?") for i, t in enumerate([*foreign, "This morning we went to the park and walked there for a long time", None, "12 34"], 1)], docs.schema)
+    assert {r["doc_id"] for r in L.keep_identified(texts, model).collect()} == {-6}
+    held = docs.where("doc_id % 2 = 1")
+    before = {r["doc_id"] for r in L.identify(held, model).where("lang_pred <> 'und' and score >= 0.5").collect()}
+    assert len({r["doc_id"] for r in L.keep_identified(held, model).collect()}) >= 0.97 * len(before)
+
+
 def test_label_model_and_scores(spark):
     rng = random.Random(12)
     clean = [f"word{i}" for i in range(200)]
