@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, slices
+from .common import alnum_words, free_name, materialize, slices
 
 WINDOW = 8
 #: Bytes of test items in one automaton; larger benchmarks are dealt over several, one after another.
@@ -174,44 +174,53 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """Per document: id, n_words, runs of hit words, items with windows that occur in it.
 
     Null or empty texts have no words. Repeated item ids are one item with the windows
-    of all its rows; null item ids and items without words are never found. Repeated
-    document rows give a row each as long as the benchmark fits one block; beyond, rows
-    of the same id and text are one.
+    of all its rows; null item ids and items without words are never found. Each document
+    row gives a row, however many blocks the benchmark takes.
     """
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = f"id {fields[id_col]}, {_SCAN}"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def scanner(block: Broadcast):
-        name = uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(name, block)
-            for batch in slices(batches):
-                n, runs, items = [], [], []
-                for text in batch.column("text").to_pylist():
-                    words = alnum_words(text)
-                    r, found = auto.scan(words)
-                    n.append(len(words))
-                    runs.append([{"start": a, "stop": b} for a, b in r])
-                    items.append(sorted(found))
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(runs, kind), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "runs", "items"])
-
-        return source.mapInArrow(run, schema)
-
-    parts = [scanner(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes, window)]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p.where("size(items) > 0"))
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes, window))
+    if len(blocks) == 1:
+        return _scan(source, blocks[0]).withColumnRenamed("id", id_col)
+    rows = _numbered(source, "row")
+    return rows.select("row", "id").join(_scan_blocks(rows.select(F.col("row").alias("id"), "text"), blocks).withColumnRenamed("id", "row"), "row").drop("row").withColumnRenamed("id", id_col)
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a number of their own, written once: it tells equal rows, and rows without an id, apart in all later passes."""
+    return materialize(rows.withColumn(name, F.monotonically_increasing_id()), "scanned")
+
+
+def _scan(source: DataFrame, block: Broadcast) -> DataFrame:
+    """Of each row (id, text): id, n_words, runs and items, for the test items of one block."""
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _automaton(name, block)
+        for batch in slices(batches):
+            n, runs, items = [], [], []
+            for text in batch.column("text").to_pylist():
+                words = alnum_words(text)
+                r, found = auto.scan(words)
+                n.append(len(words))
+                runs.append([{"start": a, "stop": b} for a, b in r])
+                items.append(sorted(found))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(runs, kind), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "runs", "items"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {_SCAN}")
+
+
+def _scan_blocks(source: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+    """As _scan, over several blocks: runs and items of all of them. The ids must be unique."""
+    hits = _scan(source, blocks[0])
+    for block in blocks[1:]:
+        hits = hits.unionByName(_scan(source, block).where("size(items) > 0"))
     hits = hits.groupBy("id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merge = F.aggregate(
         "runs", F.array().cast("array<struct<start:long,stop:long>>"),
         lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= r["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], r["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(r))),
     )
-    return hits.withColumn("runs", merge).withColumnRenamed("id", id_col)
+    return hits.withColumn("runs", merge)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -220,37 +229,47 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Columns are those of `docs`. A span runs from its first hit word to its last; where
     words remain on both sides one space takes its place. Texts without hits come back
     byte for byte, null and empty ones included. The schema may hold any further columns.
+    Spans and coverage are those of all test items together in the text as it came,
+    however many blocks these take.
     """
     schema = docs.schema
     at = docs.columns.index(text_col)
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes, window))
+
+    def scrub(batches: Iterator[pa.RecordBatch], runs_of: Callable[[pa.RecordBatch, list[list[bytes]]], list]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, keep, changed = batch.column(at).to_pylist(), [], False
+            words = [alnum_words(text) for text in texts]
+            for k, runs in enumerate(runs_of(batch, words)):
+                if not runs:
+                    keep.append(True)
+                    continue
+                changed = True
+                keep.append(sum(b - a for a, b in runs) <= max_coverage * len(words[k]))
+                texts[k] = cut_words(texts[k], runs)
+            arrays, fields = batch.columns[: len(schema)], pa.schema([batch.schema.field(i) for i in range(len(schema))])
+            if changed:
+                arrays[at] = pa.array(texts, fields.field(at).type)
+            out = pa.RecordBatch.from_arrays(arrays, schema=fields)
+            yield out.filter(pa.array(keep)) if changed else out
+
+    if len(blocks) == 1:
+        name, block = uuid.uuid4().hex, blocks[0]
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(name, block)
+            return scrub(batches, lambda _, words: [auto.scan(w)[0] for w in words])
 
-    def scrub(block: Broadcast, docs: DataFrame) -> DataFrame:
-        name = uuid.uuid4().hex
+        return docs.mapInArrow(one, schema)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(name, block)
-            for batch in slices(batches):
-                texts, keep, changed = batch.column(at).to_pylist(), [], False
-                for k, text in enumerate(texts):
-                    words = alnum_words(text)
-                    runs, _ = auto.scan(words)
-                    if not runs:
-                        keep.append(True)
-                        continue
-                    changed = True
-                    keep.append(sum(b - a for a, b in runs) <= max_coverage * len(words))
-                    texts[k] = cut_words(text, runs)
-                if changed:
-                    arrays = batch.columns
-                    arrays[at] = pa.array(texts, batch.schema.field(at).type)
-                    batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep))
-                yield batch
-
-        return docs.mapInArrow(run, schema)
-
-    for b in _blocks(benchmark, item_col, item_text_col, block_bytes, window):
-        docs = scrub(b, docs)
-    return docs
+    row, runs = free_name(docs.columns, "row"), free_name(docs.columns, "runs")
+    rows = _numbered(docs, row)
+    found = _scan_blocks(rows.select(F.col(row).alias("id"), F.col(text_col).alias("text")), blocks).where("size(runs) > 0").select(F.col("id").alias(row), F.col("runs").alias(runs))
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return scrub(batches, lambda batch, _: [[(r["start"], r["stop"]) for r in x or ()] for x in batch.column(batch.num_columns - 1).to_pylist()])
+
+    return rows.join(found, row, "left").select(*[rows[c] for c in docs.columns], runs).mapInArrow(several, schema)
 
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")

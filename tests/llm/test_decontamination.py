@@ -64,5 +64,23 @@ def test_removal(spark):
     assert decontaminate(docs, bench.limit(0)).count() == 8
 
 
+def test_blocks_change_nothing(spark):
+    w = [f"w{k}" for k in range(60)]
+    text = " ".join(w)
+    # Over half is covered by two items together; two items overlap; rows without an id, or with one id, of equal length.
+    docs = spark.createDataFrame(
+        [(1, text, 0, "a"), (2, " ".join(w[:14] + [f"x{k}" for k in range(40)]), 0, "a"), (None, "p " + " ".join(w[:9]), 1, "b"), (None, "p q " + " ".join(w[30:38]), 1, "c"), (None, "a b c d e f g h i j", 1, "d")]
+        + [(3, "y " + " ".join(w[30:39]), 2, "e"), (3, "z " + " ".join(w[:9]), 2, "f"), (4, None, 0, "g"), (4, None, 0, "g")],
+        "doc_id int, text string, runs int, row string",
+    )
+    bench = spark.createDataFrame([(f"i{k}", " ".join(w[a:b])) for k, (a, b) in enumerate([(0, 10), (5, 14), (30, 46), (0, 9), (28, 40)])], "item_id string, text string")
+    for call in (lambda size: scan_documents(docs, bench, block_bytes=size), lambda size: decontaminate(docs, bench, block_bytes=size), lambda size: decontaminate(docs, bench, max_coverage=0.95, block_bytes=size)):
+        one, many = (sorted(map(repr, call(size).collect())) for size in (1 << 20, 40))
+        assert one == many
+    kept = decontaminate(docs, bench, block_bytes=40)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert {r["doc_id"]: r["text"] for r in kept.collect()}[2] == " ".join(f"x{k}" for k in range(40))
+
+
 def test_empty_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
