@@ -1,20 +1,26 @@
 """Token ids in a content-addressed store: rolling-hash chunks, each stored once, and document recipes.
 
-Format, two folders of Parquet files under one path:
-
-* `chunks`: a row for each reference to a chunk (digest, n ids, doc_id, row, idx); the
-  first row of a digest carries the payload, little-endian unsigned ids.
-* `recipes`: documents in ascending doc_id order over files and rows: digests and
-  lengths of their chunks, the Merkle root over the digests, ids before the document in
-  its part (`local_start`) and the part's number.
-
-One shuffle moves the payloads (by digest); a task sends a chunk's payload once, whatever
-number of copies it read. Reading back verifies digests, roots and lengths.
+Format, Parquet files under one path:
+
+* `content/kind=chunk`: a row for each distinct chunk: its digest (`key`), number of ids and
+  payload, little-endian unsigned ids.
+* `recipes`: documents in ascending doc_id order over files and rows: digests and lengths
+  of their chunks, the Merkle root over the digests, ids before the document in its part
+  (`local_start`) and the part's number.
+* `manifest`: for each part of the recipes its documents, ids and the Merkle root over its
+  documents' roots, and a row for all chunks (their number, ids and a sum of their digests).
+* `format`: the type of the ids.
+
+Texts are encoded and cut in one pass, of which chunks and recipes go through one shuffle;
+a task sends a chunk once, whatever number of copies it read, so that a chunk that all
+documents share has a row for each task at most. Reading back verifies digests, roots,
+lengths and the manifest: a lost chunk, recipe or part doesn't go unseen.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import digest, mix64, new_path, slices
+from .common import digest, mix64, new_path, remove, slices, table
 from .tokens import default_vocabulary, encoder
 
 END_ID = 1
@@ -77,8 +83,11 @@ def _wide(payload: bytes, dtype: str) -> bytes:
 
 
 def chunk_documents(docs: DataFrame, vocabulary: str, end_id: int, dtype: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each chunk of each document: digest, n, payload (null if this task has sent it), doc_id, row, idx."""
-    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("payload", T.BinaryType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("idx", T.IntegerType())])
+    """Chunks and recipes in one pass: a row for each chunk that is new to its task (kind, key, n, payload), and for each document (kind, key, doc_id, row, digests, lengths)."""
+    schema = T.StructType([
+        T.StructField("kind", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("payload", T.BinaryType()),
+        T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("digests", T.ArrayType(T.BinaryType())), T.StructField("lengths", T.ArrayType(T.IntegerType())),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, width = encoder(vocabulary, dtype), np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
@@ -87,41 +96,68 @@ def chunk_documents(docs: DataFrame, vocabulary: str, end_id: int, dtype: str, i
         for batch in slices(batches):
             data = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
             joined = b"".join(data)
-            ids = np.frombuffer(joined, dtype)
-            bounds = np.cumsum([len(d) // width for d in data])
-            out: list[list] = [[], [], [], [], [], []]
-            last = 0
-            for k, ends in enumerate(cut_points(ids, bounds, gear)):
-                for i, e in enumerate(ends):
-                    payload = joined[last * width : e * width]
-                    key = digest(payload)
-                    new = key not in sent
-                    if new:
-                        sent.add(key)
-                    for col, value in zip(out, (key, e - last, payload if new else None, k, row, i), strict=True):
-                        col.append(value)
-                    last = e
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), batch.column("doc_id").take(pa.array(out[3], pa.int64())), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int32())], names=schema.names)
+            cuts = cut_points(np.frombuffer(joined, dtype), np.cumsum([len(d) // width for d in data]), gear)
+            keys, sizes, new, last = [], [], {}, 0
+            for e in itertools.chain.from_iterable(cuts):
+                payload = joined[last * width : e * width]
+                key = digest(payload)
+                if key not in sent:
+                    sent.add(key)
+                    new[key] = payload
+                keys.append(key)
+                sizes.append(e - last)
+                last = e
+            chunks, n = len(new), len(cuts)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in cuts])]), pa.int32())
+            columns = [
+                (pa.array(["chunk"] * chunks, pa.string()), pa.array(["recipe"] * n, pa.string())),
+                (pa.array(list(new), pa.binary()), pa.array([digest(i.to_bytes(8, "little")) for i in range(row, row + n)], pa.binary())),
+                (pa.array([len(x) // width for x in new.values()], pa.int32()), None),
+                (pa.array(list(new.values()), pa.binary()), None),
+                (None, batch.column("doc_id")),
+                (None, pa.array(range(row, row + n), pa.int64())),
+                (None, pa.ListArray.from_arrays(offsets, pa.array(keys, pa.binary()))),
+                (None, pa.ListArray.from_arrays(offsets, pa.array(sizes, pa.int32()))),
+            ]
+            row += n
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(chunks, b.type) if a is None else a, pa.nulls(n, a.type) if b is None else b]) for a, b in columns], names=schema.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's rows, which hold all rows of their keys, the first of each key."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for key in batch.column("key").to_pylist():
+            keep.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _content(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("kind", T.StringType())])).parquet(f"{path}/content").where(F.col("kind") == kind).drop("kind")
+
+
+_CHUNK = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("payload", T.BinaryType())])
+
+
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode documents and write them as a store under `path`, in any folder that Spark can write.
 
     A null or empty text gives the end id alone. Repeated rows are documents of their own
-    that share chunks; they keep the order of their input rows. An empty table gives empty folders.
+    that share chunks; they keep the order of their input rows. Rows without an id come
+    first. An empty table gives empty folders.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     dtype = "<u2" if encoder(vocabulary, "<u2").size <= 1 << 16 and end_id < 1 << 16 else "<u4"
-    first = Window.partitionBy("digest").orderBy(F.col("payload").isNull(), "row", "idx")
-    rows = chunk_documents(docs, vocabulary, end_id, dtype, id_col, text_col).withColumn("nth", F.row_number().over(first))
-    rows.withColumn("payload", F.when(F.col("nth") == 1, F.col("payload"))).drop("nth").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    rows = chunk_documents(docs, vocabulary, end_id, dtype, id_col, text_col)
+    rows.repartition("key").mapInArrow(_once, rows.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/content")
 
-    refs = spark.read.parquet(f"{path}/chunks").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("idx", "digest", "n"))).alias("c"))
-    ordered = refs.select("doc_id", "row", F.col("c.digest").alias("digests"), F.col("c.n").alias("lengths")).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
-    schema = T.StructType([*ordered.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("local_start", T.LongType()), T.StructField("part", T.IntegerType())])
+    fields = T.StructType([rows.schema[c] for c in ("doc_id", "row", "digests", "lengths")])
+    ordered = _content(spark, path, "recipe", fields).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    schema = T.StructType([*fields.fields, T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("local_start", T.LongType()), T.StructField("part", T.IntegerType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
@@ -134,6 +170,33 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
 
     ordered.mapInArrow(number, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
     spark.createDataFrame([(dtype,)], "dtype string").coalesce(1).write.parquet(f"{path}/format")
+    _manifest(spark, path).coalesce(1).write.parquet(f"{path}/manifest")
+    remove(spark, f"{path}/content/kind=recipe")
+
+
+_PART = "part int, n_rows long, n_ids long, root binary"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """What the manifest should say, from the files: a row for each part of the recipes, and one (part -1) for all chunks."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    parts = recipes.groupBy("part").agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("n_ids"), F.array_sort(F.collect_list(F.struct("local_start", "row", "root"))).alias("roots")).select("part", "n_rows", "n_ids", F.col("roots.root").alias("root"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = [merkle_root(x) for x in batch.column("root").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(roots, pa.binary())], names=["part", "n_rows", "n_ids", "root"])
+
+    total = F.sum(F.xxhash64("key").cast("decimal(38,0)"))
+    chunks = _content(spark, path, "chunk", _CHUNK).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_ids"), F.coalesce(total, F.lit(0)).cast("string").cast("binary").alias("root"))
+    return parts.mapInArrow(fold, _PART).union(chunks.select(F.lit(-1).alias("part"), "n_rows", "n_ids", "root"))
+
+
+def faults(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the manifest that the files don't bear out, and parts it doesn't name: part (-1: the chunks), n_rows, found_rows. Empty for a whole store."""
+    told = spark.read.parquet(f"{path}/manifest")
+    found = _manifest(spark, path).select("part", F.col("n_rows").alias("found_rows"), F.col("n_ids").alias("found_ids"), F.col("root").alias("found_root"))
+    return told.join(found, "part", "full").where("not (n_rows <=> found_rows and n_ids <=> found_ids and root <=> found_root)").select("part", "n_rows", "found_rows")
 
 
 def _gf_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,17 +230,23 @@ def crc_combine(crcs: np.ndarray, n_bytes: np.ndarray, counts: np.ndarray) -> np
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents with their ids rebuilt from the store: doc_id, row, ids (array of long)."""
+    """Documents with their ids rebuilt from the store: doc_id, row, ids (array of long), verified.
+
+    A document of which a chunk is lost or not what its digest says, or the root differs, has null ids and isn't verified.
+    """
     dtype = spark.read.parquet(f"{path}/format").first()[0]
-    chunks = spark.read.parquet(f"{path}/chunks").where("payload is not null").select("digest", "payload")
-    refs = spark.read.parquet(f"{path}/recipes").select("doc_id", "row", F.posexplode("digests").alias("idx", "digest"))
-    docs = refs.join(chunks, "digest").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("idx", "payload"))).alias("c"))
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["row"], T.StructField("ids", T.ArrayType(T.LongType()))])
+    chunks = _content(spark, path, "chunk", _CHUNK).select(F.col("key").alias("digest"), "payload")
+    refs = spark.read.parquet(f"{path}/recipes").select("doc_id", "row", "root", F.posexplode("digests").alias("idx", "digest"))
+    docs = refs.join(chunks, "digest", "left").groupBy("doc_id", "row", "root").agg(F.array_sort(F.collect_list(F.struct("idx", "digest", "payload"))).alias("c"))
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["row"], T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("verified", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = [np.frombuffer(b"".join(x["payload"] for x in c), dtype).astype(np.int64) for c in batch.column("c").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.list_(pa.int64()))], names=schema.names)
+            ids = []
+            for root, c in zip(batch.column("root").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                good = merkle_root([x["digest"] for x in c]) == root and all(x["payload"] is not None and digest(x["payload"]) == x["digest"] for x in c)
+                ids.append(np.frombuffer(b"".join(x["payload"] for x in c), dtype).astype(np.int64) if good else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.list_(pa.int64())), pa.array([x is not None for x in ids], pa.bool_())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -186,7 +255,8 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     """Read a store back. Per document: doc_id, start, n_tokens, ids_crc32, verified.
 
     Payloads are read from the files, held against their digests and summed chunk by chunk;
-    recipes put the sums together, so that payloads needn't be shuffled again.
+    recipes put the sums together, so that payloads needn't be shuffled again. A document is
+    verified if its chunks are, its root is theirs, and its part is as the manifest has it.
     """
     dtype = spark.read.parquet(f"{path}/format").first()[0]
     width = np.dtype(dtype).itemsize
@@ -198,11 +268,11 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
             right = [digest(p) == k for p, k in zip(data, keys.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([keys, pa.array([len(p) // width for p in data], pa.int32()), pa.array([zlib.crc32(_wide(p, dtype)) for p in data], pa.int64()), pa.array(right)], names=["digest", "n", "crc", "right"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").where("payload is not null").select("digest", "payload").mapInArrow(sums, "digest binary, n int, crc long, right boolean")
+    chunks = _content(spark, path, "chunk", _CHUNK).select(F.col("key").alias("digest"), "payload").mapInArrow(sums, "digest binary, n int, crc long, right boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
     refs = recipes.select("doc_id", "row", "root", "part", "local_start", F.posexplode("digests").alias("idx", "digest"))
     docs = refs.join(chunks, "digest", "left").groupBy("doc_id", "row", "root", "part", "local_start").agg(F.array_sort(F.collect_list(F.struct("idx", "digest", "n", "crc", "right"))).alias("c"))
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("local_start", "n_tokens", "ids_crc32")), T.StructField("part", T.IntegerType()), T.StructField("verified", T.BooleanType())])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("local_start", "n_tokens", "ids_crc32")), T.StructField("part", T.IntegerType()), T.StructField("good", T.BooleanType())])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
@@ -216,14 +286,16 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
             total = np.add.reduceat(n, ends - counts) if len(n) else n
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("local_start"), pa.array(total, pa.int64()), pa.array(crc_combine(crc, 4 * n, counts).astype(np.int64), pa.int64()), batch.column("part"), pa.array(np.array(good, bool) & right, pa.bool_())], names=schema.names)
 
+    # A row for each part; their number is that of the shuffle's partitions at most.
+    bad = faults(spark, path).select("part", F.lit(True).alias("bad"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return docs.mapInArrow(combine, schema).join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "verified")
+    told = spark.read.parquet(f"{path}/manifest").where("part >= 0").select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    parts = told.join(bad, "part", "left")
+    return docs.mapInArrow(combine, schema).join(F.broadcast(parts), "part", "left").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", (F.col("good") & F.col("base").isNotNull() & F.col("bad").isNull()).alias("verified"))
 
 
 def op8_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
+    """Whole documents encoded, stored and read back. A null or empty text is the end id alone; repeated rows are documents of their own; an empty table has no rows."""
     path = new_path(spark, "store")
     write_store(table(spark, sf_dir, "documents"), path)
     return verify_store(spark, path)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
 import numpy as np
 
-#: White space that only one of Python and the tokenizer may take as such: such texts are encoded whole.
-_ODD_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85]")
-#: Letters that no normaliser composes, then ASCII signs without the apostrophe: two pre-tokens.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_SIGNS = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+#: White space that only one of Python and the tokenizer may take as such: texts with it are encoded whole.
+_ODD_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r")
+#: ASCII signs but the apostrophe: a run of them behind a word is a pre-token of its own.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters beyond ASCII that no normaliser composes.
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The pre-tokens of the kind of vocabulary that is encoded word by word.
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of each of the two generations of a cache.
 _CACHE = 300_000
 
@@ -56,17 +60,17 @@ class WordCache(dict):
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
         if out is None:
-            if word.isascii() and word.isalpha() and word.islower():
+            letters = word.rstrip(_SIGNS)
+            if not letters:
                 out = self._part(word)
-            elif plain := _PLAIN.fullmatch(word):
-                letters, signs = plain[1].lower(), plain[2]
-                out = self[letters] if letters != word else self._part(word)
-                if signs:
-                    out += self[signs]
-            elif _SIGNS.fullmatch(word):
+            elif not letters.isalpha() or not (letters.isascii() or _LATIN.fullmatch(letters)):
+                out = self.whole(word)
+            elif letters == word and word.islower():
                 out = self._part(word)
             else:
-                out = self.whole(word)
+                out = self[letters.lower()]
+                if letters != word:
+                    out += self[word[len(letters) :]]
         if len(self) >= _CACHE:
             self.older = dict(self)
             self.clear()
@@ -94,19 +98,21 @@ class Encoder:
 
     @staticmethod
     def _splits_at_space(tokenizer) -> bool:
-        import json
-
+        """Whether words can be encoded one by one: what normaliser, pre-tokenizer and model do is checked, not their kinds alone."""
         spec = json.loads(tokenizer.to_str())
-        kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        pre = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        ends = (spec.get("model") or {}).get("end_of_word_suffix")
-        return kinds == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"] and ends == "</w>"
+        normal, pre, model = ((spec.get(k) or {}) for k in ("normalizer", "pre_tokenizer", "model"))
+        return (
+            [x if x["type"] == "Replace" else x["type"] for x in normal.get("normalizers", [])] == ["NFC", {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, "Lowercase"]
+            and [{k: v for k, v in x.items() if k != "trim_offsets"} for x in pre.get("pretokenizers", [])]
+            == [{"type": "Split", "pattern": {"Regex": _PRE_TOKENS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+            and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout"), model.get("continuing_subword_prefix")) == ("BPE", "</w>", None, None)
+        )
 
     def encode(self, text: str | None) -> bytes:
         """The ids' little-endian bytes; none for a null or empty text."""
         if not text:
             return b""
-        if not self.by_word or _ODD_SPACE.search(text):
+        if not self.by_word or any(c in text for c in _ODD_SPACE):
             return self.cache.whole(text)
         return b"".join(map(self.cache.__getitem__, text.split()))
 

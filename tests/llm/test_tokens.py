@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from bramble.llm.content_store import crc_combine, cut_points, merkle_root, read_documents, verify_store, write_store
+from bramble.llm.content_store import crc_combine, cut_points, faults, merkle_root, read_documents, verify_store, write_store
 from bramble.llm.packing import best_cuts, pack
 from bramble.llm.tokens import Encoder, default_vocabulary
 
@@ -66,10 +66,38 @@ def test_store_round_trip(spark, library, tmp_path):
         start += len(ids)
     rebuilt = sorted((r["doc_id"], r["ids"]) for r in read_documents(spark, str(tmp_path / "s")).collect())
     assert rebuilt == sorted((d, [*ids_of(library, t), 1]) for d, t, _ in ROWS)
-    chunks = spark.read.parquet(str(tmp_path / "s/chunks")).where("payload is not null")
-    assert chunks.count() == chunks.select("digest").distinct().count()
+    chunks = spark.read.parquet(str(tmp_path / "s/content/kind=chunk"))
+    assert chunks.count() == chunks.select("key").distinct().count()
+    assert faults(spark, str(tmp_path / "s")).count() == 0
     write_store(docs.limit(0), str(tmp_path / "e"))
-    assert verify_store(spark, str(tmp_path / "e")).count() == 0
+    assert verify_store(spark, str(tmp_path / "e")).count() == 0 and faults(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_store_reports_losses(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} " * (100 + i)) for i in range(40)], "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "s")
+    write_store(docs, path)
+    chunk, recipe = f"{path}/content/kind=chunk", f"{path}/recipes"
+    whole = {name: spark.read.parquet(name).collect() for name in (chunk, recipe)}
+    shapes = {name: spark.read.parquet(name).schema for name in whole}
+
+    def rewrite(name, rows):
+        spark.createDataFrame(rows, shapes[name]).coalesce(1).write.mode("overwrite").parquet(name)
+
+    rewrite(chunk, whole[chunk][1:])  # a lost chunk
+    lost = [r for r in read_documents(spark, path).collect() if r["ids"] is None]
+    assert lost and not any(r["verified"] for r in lost) and [r["part"] for r in faults(spark, path).collect()] == [-1]
+    assert {r["doc_id"] for r in verify_store(spark, path).collect() if not r["verified"]} == {r["doc_id"] for r in lost}
+    first = whole[chunk][0]
+    rewrite(chunk, [first.__class__(**{**first.asDict(), "payload": bytes(reversed(first["payload"]))}), *whole[chunk][1:]])  # a changed one
+    assert {r["doc_id"] for r in read_documents(spark, path).collect() if not r["verified"]} == {r["doc_id"] for r in lost}
+    rewrite(chunk, whole[chunk])
+    part = whole[recipe][0]["part"]
+    rewrite(recipe, whole[recipe][1:])  # a lost recipe
+    assert [r["part"] for r in faults(spark, path).collect()] == [part]
+    assert {r["doc_id"] for r in verify_store(spark, path).collect() if not r["verified"]} == {r["doc_id"] for r in whole[recipe][1:] if r["part"] == part}
+    rewrite(recipe, [r for r in whole[recipe] if r["part"] != part])  # a lost part
+    assert [(r["part"], r["found_rows"]) for r in faults(spark, path).collect()] == [(part, None)]
 
 
 def test_best_cuts_against_brute_force():
