@@ -2,8 +2,8 @@
 
 Format, Parquet files under one path:
 
-* `content/kind=chunk`: a row for each distinct chunk: its digest (`key`), number of ids and
-  payload, little-endian unsigned ids.
+* `content`: a row of kind chunk for each distinct chunk: its digest (`key`), number of ids
+  and payload, little-endian unsigned ids; and rows of kind recipe, not yet in order.
 * `recipes`: documents in ascending doc_id order over files and rows: digests and lengths
   of their chunks, the Merkle root over the digests, ids before the document in its part
   (`local_start`) and the part's number.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import digest, mix64, new_path, remove, slices, table
+from .common import digest, mix64, new_path, slices, table
 from .tokens import default_vocabulary, encoder
 
 END_ID = 1
@@ -137,7 +137,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _content(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("kind", T.StringType())])).parquet(f"{path}/content").where(F.col("kind") == kind).drop("kind")
+    return spark.read.schema(T.StructType([T.StructField("kind", T.StringType()), *schema.fields])).parquet(f"{path}/content").where(F.col("kind") == kind).drop("kind")
 
 
 _CHUNK = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("payload", T.BinaryType())])
@@ -153,7 +153,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     dtype = "<u2" if encoder(vocabulary, "<u2").size <= 1 << 16 and end_id < 1 << 16 else "<u4"
     rows = chunk_documents(docs, vocabulary, end_id, dtype, id_col, text_col)
-    rows.repartition("key").mapInArrow(_once, rows.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/content")
+    rows.repartition("key").mapInArrow(_once, rows.schema).write.option("compression", "zstd").parquet(f"{path}/content")
 
     fields = T.StructType([rows.schema[c] for c in ("doc_id", "row", "digests", "lengths")])
     ordered = _content(spark, path, "recipe", fields).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
@@ -171,7 +171,6 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     ordered.mapInArrow(number, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
     spark.createDataFrame([(dtype,)], "dtype string").coalesce(1).write.parquet(f"{path}/format")
     _manifest(spark, path).coalesce(1).write.parquet(f"{path}/manifest")
-    remove(spark, f"{path}/content/kind=recipe")
 
 
 _PART = "part int, n_rows long, n_ids long, root binary"

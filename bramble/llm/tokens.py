@@ -17,7 +17,7 @@ _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: The pre-tokens of the kind of vocabulary that is encoded word by word.
 _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of each of the two generations of a cache.
-_CACHE = 300_000
+_CACHE = 500_000
 
 
 def default_vocabulary() -> str:

@@ -66,7 +66,7 @@ def test_store_round_trip(spark, library, tmp_path):
         start += len(ids)
     rebuilt = sorted((r["doc_id"], r["ids"]) for r in read_documents(spark, str(tmp_path / "s")).collect())
     assert rebuilt == sorted((d, [*ids_of(library, t), 1]) for d, t, _ in ROWS)
-    chunks = spark.read.parquet(str(tmp_path / "s/content/kind=chunk"))
+    chunks = spark.read.parquet(str(tmp_path / "s/content")).where("kind = 'chunk'")
     assert chunks.count() == chunks.select("key").distinct().count()
     assert faults(spark, str(tmp_path / "s")).count() == 0
     write_store(docs.limit(0), str(tmp_path / "e"))
@@ -77,8 +77,8 @@ def test_store_reports_losses(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"word{i} " * (100 + i)) for i in range(40)], "doc_id long, text string").repartition(3)
     path = str(tmp_path / "s")
     write_store(docs, path)
-    chunk, recipe = f"{path}/content/kind=chunk", f"{path}/recipes"
-    whole = {name: spark.read.parquet(name).collect() for name in (chunk, recipe)}
+    chunk, recipe = f"{path}/content", f"{path}/recipes"
+    whole = {chunk: spark.read.parquet(chunk).where("kind = 'chunk'").collect(), recipe: spark.read.parquet(recipe).collect()}
     shapes = {name: spark.read.parquet(name).schema for name in whole}
 
     def rewrite(name, rows):
