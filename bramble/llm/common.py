@@ -7,9 +7,12 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes as `space_words` sees them: A-Z lowered, ASCII white space as a space.
+_TO_SPACED = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lowered, runs of digits, letters and non-ASCII characters."""
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split() if text else []
@@ -88,6 +95,28 @@ def crc_mod(col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
+#: Bits of one bitmap as Spark's functions build them, and the number of bitmaps that are sent to all executors at most: 64 MB.
+_BITMAP, _BITMAPS = 32_768, 16_384
+
+
+def probable(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key columns are among those of `keys` (distinct, written), and some others: a filter that spares a join's shuffle.
+
+    Keys are hashed into bitmaps of eight bits a key, which go to all executors; if that
+    were more than 64 MB, rows come back as they are.
+    """
+    count = -(-8 * keys.count() // _BITMAP)
+    if not 0 < count <= _BITMAPS:
+        return rows
+    names = [free_name([*rows.columns, *keys.columns], x) for x in ("bitmap", "bitmap_of", "bit")]
+    bitmap, number, bit = names
+    spot = F.pmod(F.xxhash64(*on), F.lit(count * _BITMAP))
+    parts = [(F.floor(spot / _BITMAP)).cast("int").alias(number), (spot % _BITMAP).cast("int").alias(bit)]
+    maps = keys.select(*parts).groupBy(number).agg(F.bitmap_construct_agg(bit).alias(bitmap))
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.select(*rows.columns, *parts).join(F.broadcast(maps), number).where(F.getbit(byte, F.col(bit).bitwiseAND(7)) == 1).select(rows.columns)
+
+
 def free_name(taken: Iterable[str], name: str) -> str:
     """A column name that clashes with none of those taken."""
     low = {c.lower() for c in taken}
@@ -103,6 +132,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """As `slices`, with at most `size` bytes of text in a slice of more than one row."""
+    for batch in slices(batches, rows):
+        at = held = 0
+        for i, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            if i > at and held + n > size:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -114,3 +156,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2 ** 64."""
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+#: Bytes that words are hashed in at a time, and the length from which a word is hashed by itself.
+_PIECE, _LONG_WORD = 1 << 21, 1 << 16
+_LETTERS = mix64(np.arange(1, 257, dtype=np.uint64))
+
+
+def _hash_piece(data: bytes) -> np.ndarray:
+    letters = np.frombuffer(data, np.uint8)
+    word = np.concatenate([[False], letters != 0x20, [False]])
+    start, stop = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+    power, inverse = powers(1 << max(16, len(letters).bit_length()))
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(_LETTERS[letters] * power[: len(letters)], out=sums[1:])
+    out = mix64((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    for i in np.flatnonzero(stop - start >= _LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : stop[i]])
+    return out
+
+
+def word_hashes(text: str | None, alnum: bool = False) -> np.ndarray:
+    """64-bit hashes of a text's words, as `space_words` or `alnum_words` has them, without making them."""
+    data = text.encode("utf-8", "surrogatepass").translate(_TO_WORDS if alnum else _TO_SPACED) if text else b""
+    if len(data) <= _PIECE:
+        return _hash_piece(data)
+    out, at = [], 0
+    while at < len(data):
+        stop = len(data) if len(data) - at <= _PIECE else data.rfind(b" ", at, at + _PIECE)
+        if stop > at:
+            out.append(_hash_piece(data[at:stop]))
+        elif stop < 0:  # one word fills the piece
+            stop = data.find(b" ", at)
+            stop = len(data) if stop < 0 else stop
+            out.append(np.array([xxhash.xxh3_64_intdigest(data[at:stop])], np.uint64))
+        at = stop + 1
+    return np.concatenate(out)

@@ -1,15 +1,17 @@
 """Line dedup by a deletion-neighbourhood join. DataFrame functions only.
 
-Lines are sequences of words; a line goes if an earlier line (by document id, then line
-number) is the same or is within one edit: a word replaced, added or left out. A line's
-neighbourhood is the line and all variants with one word deleted, as hashed keys:
+Lines are sequences of words; a line goes if an earlier line (by document id, then text,
+then line number) is the same, or, for lines of some length, is within one edit: a word
+replaced, added or left out. A line's neighbourhood is the line and all variants with one
+word deleted, as hashed keys:
 
 * Lines that agree after deleting the same place differ in that word alone.
 * A line equal to another's variant lacks one of its words.
 
 So in each key's group the earliest line stands for all others, and groups are never
 paired out. Only lines that share a half with another line can have a neighbour; the
-others emit no variants. Matches are verified on the words themselves.
+others emit no variants. Variants are emitted once; those whose key nothing else has go
+before anything else is done with them. Matches are verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -19,29 +21,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, table
+from .common import free_name, materialize, probable, table
 
-#: Shorter lines are too common to count as near copies; whether their exact copies go is the caller's choice.
+#: Shorter lines are too common to count as near copies; exact copies go at any length.
 MIN_WORDS = 6
 #: Letters of scripts that are written without spaces; two of them are taken for a word.
 _UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_SPACE = " \t\n\x0b\f\r"
 _BLOCK = 64
 
 
-def line_words(line: Column) -> Column:
-    """Words of a line in lower case."""
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
-
-
-def line_units(words: Column, min_words: int) -> Column:
-    """What the edit-distance stage compares of a line: its words if there are min_words, or else the letters of
-    scripts without spaces, one by one, with the words between them, if there are twice as many; or else nothing.
+def with_units(lines: DataFrame, min_words: int) -> DataFrame:
+    """Of rows with a `line`, those with a word, with `words`, in lower case, in place of the line; and `units`, what near
+    copies are told by: the words if there are min_words, or else the letters of scripts without spaces, one by one,
+    with the words between them, if there are twice as many; or else nothing.
     """
-    def apart(w: Column) -> Column:
-        return F.filter(F.split(F.regexp_replace(w, f"({_UNSPACED})", " $1 "), " "), lambda u: u != "")
-
-    units = F.when(F.exists(words, lambda w: w.rlike(_UNSPACED)), F.flatten(F.transform(words, apart))).otherwise(words)
-    return F.when(F.size(words) >= min_words, words).otherwise(_let(units, lambda u: F.when(F.size(u) >= 2 * min_words, u).otherwise(F.slice(u, 1, 0))))
+    own = [c for c in lines.columns if c != "line"]
+    held = lines.select(*own, F.btrim(F.lower("line"), F.lit(_SPACE)).alias("line")).where("line <> ''")
+    held = held.select(*own, "line", F.split("line", r"\s+").alias("words"))
+    letters = F.when((F.octet_length("line") > F.char_length("line")) & (F.size("words") < min_words) & F.col("line").rlike(_UNSPACED), F.split(F.btrim(F.regexp_replace("line", f"({_UNSPACED})", " $1 "), F.lit(_SPACE)), r"\s+"))
+    held = held.select(*own, "words", letters.alias("letters"))
+    return held.select(*own, "words", F.when(F.size("words") >= min_words, F.col("words")).when(F.size("letters") >= 2 * min_words, F.col("letters")).otherwise(F.slice("words", 1, 0)).alias("units"))
 
 
 def _xor(values: Column) -> Column:
@@ -99,84 +99,88 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(n - m) <= 1) & _let(first.cast("int"), ends)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, every_line: bool = False) -> DataFrame:
-    """Per document that loses lines: doc_id and `gone`, the numbers of its lines (from 0) that repeat an earlier one.
-
-    Rows of one id are one document if they have the same text; of different texts under an
-    id each counts as written, and a line number gone from one goes from all.
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Per text that loses lines: doc_id, twin (a hash of the text) and `gone`, the numbers of its lines (from 0) that repeat an earlier one.
 
-    With every_line the minimum is that of near copies alone: exact copies of all lines
-    with a word count, and lines of scripts without spaces are compared by letters.
+    Rows of one id and text are one document; different texts of an id are documents that
+    follow each other by their hash. Rows without an id neither lose lines nor stand for others.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    lines = texts.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), line_words)).alias("pos", "words")).where(F.size("words") >= (1 if every_line else min_words))
-    lines = lines.withColumn("units", line_units(F.col("words"), min_words) if every_line else F.col("words"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    lines = with_units(texts.select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("pos", "line")), min_words)
     n = F.size("units")
 
-    def halves(m: Column, name: str) -> Column:
+    def halves(m: Column, name: str) -> list[Column]:
         h = F.floor(m / 2).cast("int")
-        return F.array(F.xxhash64(F.lit("head"), m, F.slice("units", 1, h)), F.xxhash64(F.lit("tail"), m, F.slice("units", n - (m - h) + 1, m - h))).alias(name)
+        return [F.xxhash64(F.lit("head"), m, F.slice("units", 1, h)).alias(name), F.xxhash64(F.lit("tail"), m, F.slice("units", n - (m - h) + 1, m - h))]
 
-    keyed = lines.select("doc_id", "pos", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"), F.when(n > 0, F.concat(halves(n, "x"), halves(n - 1, "y"))).alias("halves"))
+    keyed = lines.select("doc_id", "twin", "pos", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"), F.when(n > 0, F.array(*halves(n, "x"), *halves(n - 1, "y"))).alias("halves"))
     keyed = materialize(keyed, "lines")
-    place = F.struct("doc_id", "pos")
+    place = F.struct("doc_id", "twin", "pos")
     first = materialize(keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("halves").alias("halves")), "first")
-    exact = keyed.select("doc_id", "pos", "h1", "h2").join(first.select("h1", "h2", "first"), ["h1", "h2"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos"))).select("doc_id", "pos")
+    exact = keyed.select("doc_id", "twin", "pos", "h1", "h2").join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("first") != place).select("doc_id", "twin", "pos")
 
-    half = first.select("first.doc_id", "first.pos", F.explode("halves").alias("half"))
+    half = first.select("first.*", F.explode("halves").alias("half"))
     shared = F.count("*").over(Window.partitionBy("half")) > 1  # distinct lines alone have keys here
-    near = half.withColumn("shared", shared).where("shared").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("wanted"))
-
-    def units(line: Column) -> Column:
-        return _let(line_words(line), lambda w: line_units(w, min_words)) if every_line else line_words(line)
-
-    picked = _let(F.split("text", "\n"), lambda own: F.transform("wanted", lambda p: F.struct(p.alias("pos"), units(F.get(own, p)).alias("words"))))
-    held = texts.join(near, "doc_id").select("doc_id", F.explode(picked).alias("l")).select("doc_id", "l.pos", "l.words").where(F.size("words") >= min_words)
-    held = materialize(held.groupBy("doc_id", "pos").agg(F.min("words").alias("words")), "near")
-
-    variants = held.select(place.alias("at"), F.size("words").alias("n"), F.explode(_variants(F.col("words"))).alias("v")).select("at", F.when(F.col("v.place") == 0, F.col("n")).otherwise(F.col("n") - 1).alias("len"), "v.key", "v.place")
-    groups = variants.groupBy("len", "key", "place").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    both = groups.groupBy("len", "key").agg(F.min(F.when(F.col("place") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") > 0, F.col("first"))).alias("cut"), F.min("first").alias("low"), F.max("last").alias("high")).where("low <> high").select("len", "key", "whole", "cut")
+    near = half.withColumn("shared", shared).where("shared").select("doc_id", "twin", "pos").distinct().groupBy("doc_id", "twin").agg(F.collect_list("pos").alias("wanted"))
+    near = materialize(near, "wanted")
+
+    picked = _let(F.split("text", "\n"), lambda own: F.transform("wanted", lambda p: F.struct(p.alias("pos"), F.get(own, p).alias("line"))))
+    held = probable(texts, near, ["doc_id", "twin"]).join(near, ["doc_id", "twin"]).select("doc_id", "twin", F.explode(picked).alias("l")).select("doc_id", "twin", "l.pos", "l.line")
+    held = with_units(held, min_words).select(place.alias("at"), F.col("units").alias("words")).dropDuplicates(["at"])
+    held = materialize(held, "near")
+
+    variants = held.select("at", F.size("words").alias("n"), F.explode(_variants(F.col("words"))).alias("v")).select("at", F.xxhash64(F.when(F.col("v.place") == 0, F.col("n")).otherwise(F.col("n") - 1), "v.key").alias("key"), "v.place")
+    variants = materialize(variants, "variants")
+    several = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    variants = materialize(variants.join(several.hint("shuffle_hash"), "key", "left_semi"), "shared")
+    groups = variants.groupBy("key", "place").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    both = groups.groupBy("key").agg(F.min(F.when(F.col("place") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") > 0, F.col("first"))).alias("cut"), F.min("first").alias("low"), F.max("last").alias("high")).where("low <> high").select("key", "whole", "cut")
     # Of each key: the earliest line deleted at the same place, or the whole line; of a whole line: the earliest with a word more.
-    of_place = groups.join(both, ["len", "key"]).select("len", "key", "place", F.when(F.col("place") == 0, F.col("cut")).when(F.col("whole").isNull(), F.col("first")).otherwise(F.least("whole", "first")).alias("witness"))
-    pairs = variants.join(of_place, ["len", "key", "place"]).where("witness < at").select("at", "witness").distinct()
-    a = held.select(place.alias("at"), F.col("words").alias("wa"))
-    b = held.select(place.alias("witness"), F.col("words").alias("wb"))
-    close = pairs.join(a, "at").join(b, "witness").where(within_one_edit(F.col("wa"), F.col("wb"))).select(F.col("at").alias("first"))
+    of_place = groups.join(both, "key").select("key", "place", F.when(F.col("place") == 0, F.col("cut")).when(F.col("whole").isNull(), F.col("first")).otherwise(F.least("whole", "first")).alias("witness"))
+    pairs = variants.join(of_place, ["key", "place"]).where("witness < at").select("at", "witness").distinct()
+    a = held.select("at", F.col("words").alias("wa"))
+    b = held.select(F.col("at").alias("witness"), F.col("words").alias("wb"))
+    close = pairs.join(a, "at").join(b, "witness").where(within_one_edit(F.col("wa"), F.col("wb"))).select("at.*")
     # A distinct line that goes takes its copies along: all but the first are gone already.
-    gone = exact.union(close.select("first.doc_id", "first.pos")).distinct()
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
+    gone = exact.union(close).distinct()
+    return gone.groupBy("doc_id", "twin").agg(F.collect_set("pos").alias("gone"))
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, every_line: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of `docs`, plus n_lines and n_removed (names that are free), with repeated lines taken out of the text.
 
-    Null texts stay null with 0 lines, empty texts have one empty line; lines under
-    min_words words stay, unless every_line is set and they repeat exactly. Repeated rows of an id lose the same lines, and count once as written.
+    Exact copies of all lines with a word go, near copies of lines of min_words words or
+    more. Null texts stay null with 0 lines, empty texts have one empty line; lines without
+    a word stay. Repeated rows of an id and text lose the same lines, and count once as
+    written; rows without an id stay as they are. An empty table gives an empty table; a
+    text may have any number of lines and words.
     """
     total, removed = free_name(docs.columns, "n_lines"), free_name(docs.columns, "n_removed")
-    gone, key = free_name(docs.columns, "gone"), free_name(docs.columns, "gone_id")
-    found = repeated_lines(docs, id_col, text_col, min_words, every_line).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
-    out = docs.join(found, F.col(id_col) == F.col(key), "left")
-    lines = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
+    gone, key, twin = (free_name(docs.columns, x) for x in ("gone", "gone_id", "gone_twin"))
+    found = repeated_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias(key), F.col("twin").alias(twin), F.col("gone").alias(gone))
+    out = docs.join(found, (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(twin)), "left")
+    kept = _let(F.split(text_col, "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n"))
     return out.select(
         *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(total),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.char_length(text_col) - F.char_length(F.translate(text_col, "\n", "")) + 1).cast("long").alias(total),
         F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(removed),
     )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents without repeated lines; nulls, empty and repeated rows as drop_lines says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP6_SQL = r"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(lower(line), '\s+'), lambda w: w <> '') AS w FROM raw),
-long AS (SELECT doc_id, pos, w, len(w) AS n, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS nth FROM lines WHERE len(w) >= 6),
-firsts AS (SELECT doc_id, pos, w, n FROM long WHERE nth = 1),
+lines AS (
+  SELECT doc_id, pos, list_filter(regexp_split_to_array(lower(line), '\s+'), lambda w: w <> '') AS w,
+         list_filter(regexp_split_to_array(regexp_replace(lower(line), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '\s+'), lambda w: w <> '') AS u
+  FROM raw),
+long AS (SELECT doc_id, pos, w, u, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS nth FROM lines WHERE len(w) > 0),
+firsts AS (SELECT doc_id, pos, x AS w, len(x) AS n FROM (SELECT doc_id, pos, CASE WHEN len(w) >= 6 THEN w WHEN len(u) > len(w) AND len(u) >= 12 THEN u END AS x FROM long WHERE nth = 1) WHERE x IS NOT NULL),
 halves AS (
   SELECT doc_id, pos, w, n, m, side,
          CASE WHEN side = 0 THEN md5(array_to_string(w[1:m // 2], ' ')) ELSE md5(array_to_string(w[n - (m - m // 2) + 1:n], ' ')) END AS half
