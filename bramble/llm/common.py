@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes as `space_words` sees them: A-Z lowered, ASCII white space as a space.
+#: A-Z lowered, ASCII white space as a space: for words that are runs of anything else.
 _TO_SPACED = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
 
 
@@ -36,11 +36,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split() if text else []
 
 
-def space_words(text: str | None) -> list[bytes]:
-    """Words of a text: A-Z lowered, runs of what isn't ASCII white space."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application under spark.checkpoint.dir; removed when the driver's Python ends.
 
@@ -191,7 +186,7 @@ def _hash_piece(data: bytes) -> np.ndarray:
 
 
 def word_hashes(text: str | None, alnum: bool = False) -> np.ndarray:
-    """64-bit hashes of a text's words, as `space_words` or `alnum_words` has them, without making them."""
+    """64-bit hashes of a text's words: runs of what isn't ASCII white space with A-Z lowered, or those of `alnum_words`."""
     data = text.encode("utf-8", "surrogatepass").translate(_TO_WORDS if alnum else _TO_SPACED) if text else b""
     if len(data) <= _PIECE:
         return _hash_piece(data)

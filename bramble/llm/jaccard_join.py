@@ -7,11 +7,13 @@ n1 parts, some have at most SPARE differing shingles, and there all but SPARE su
 are equal. A signature is a set's content in SECOND - SPARE sub-parts of a part; every
 such subset is enumerated, so that similar sets share a signature: no link is lost.
 
-Sets that share a signature are candidates. Counts of a set's shingles in 64 slots bound
-from below by how many shingles two sets differ; candidates that differ by too many are
-dropped before any text moves, the others are verified on whole sets. To find components,
-a set is held against the first of its bucket; the rest of a bucket is compared only
-across components that are still apart.
+Nodes are distinct sets; documents with equal sets are one node. Nodes that share a
+signature are candidates. A sketch of each set (parities of its shingles in 512 slots)
+bounds from below by how many shingles two sets differ; candidates that differ by too
+many are dropped before any text moves, the others are verified on whole sets. To find
+components, a node is held against the first of its bucket; then, in some rounds, against
+a random other one of those still apart from it, which makes large components whole at a
+cost that is linear in the bucket; what is still apart in the end is compared in full.
 """
 
 from __future__ import annotations
@@ -21,41 +23,35 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, digest, free_name, materialize, mix64, slices, space_words, table
+from .common import digest, free_name, materialize, mix64, probable, table, text_slices, word_hashes
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
 SECOND, SPARE = 3, 1
-#: Slots of the counts, eight to a long.
-SLOTS = 64
-_COUNTS = [f"k{i}" for i in range(SLOTS // 8)]
-_CACHE = 300_000
-
-
-class Shingler:
-    """64-bit hashes of the distinct word shingles of a text; fewer words than a shingle has are one shingle."""
-
-    def __init__(self, words: int, split=space_words):
-        self.words, self.split, self.cache = words, split, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = self.split(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        cache = self.cache
-        if len(cache) > _CACHE:
-            cache.clear()
-        ids = np.fromiter((cache[w] if w in cache else cache.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words), np.uint64, len(words))
-        k, n = min(self.words, len(ids)), len(ids)
-        acc = np.full(n - k + 1, k, np.uint64)
+#: Slots of the sketches, 64 to a long.
+SLOTS = 512
+_SKETCH = [f"k{i}" for i in range(SLOTS // 64)]
+#: Rounds of random centres; what is apart after them is compared in full.
+ROUNDS = 2
+
+
+def shingles(texts: list[str | None], words: int, alnum: bool = False) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of the distinct word shingles of each text; fewer words than a shingle has are one shingle."""
+    out = []
+    for text in texts:
+        ids = word_hashes(text, alnum)
+        n = len(ids)
+        k = min(words, n)
+        acc = np.full(n - k + 1 if n else 0, k, np.uint64)
         for j in range(k):
             acc = mix64(acc ^ ids[j : n - k + 1 + j]) + np.uint64(0x9E3779B97F4A7C15)
-        return np.unique(acc)
+        acc.sort()
+        out.append(acc[np.concatenate([[True], acc[1:] != acc[:-1]])] if n else acc)
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -76,7 +72,7 @@ def bands(percent: int, largest: int = 1 << 40) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=4096)
-def instance(band: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+def instance(band: int, percent: int) -> tuple[int, int, np.ndarray]:
     """Of the pairs of sets in `band` and the one above: first-level parts, those that must agree, and salts."""
     low = bands(percent)
     a = low[band + 1] - 1
@@ -87,154 +83,212 @@ def instance(band: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]
     if k:
         n1 += 1 + n1 // 16
     salts = mix64(np.arange(n1 * SECOND, dtype=np.uint64) + np.uint64((band + 1) << 40)).reshape(n1, SECOND)
-    return n1, n1 - bad, salts, np.uint64(band)
-
-
-def signatures(items: np.ndarray, percent: int) -> np.ndarray:
-    """PartEnum signatures of a set, of its own band and the one below."""
-    low = bands(percent)
-    own = int(np.searchsorted(low, len(items), "right")) - 1
-    out = []
-    for band in (own, own - 1):
-        if band < 0:
+    return n1, n1 - bad, salts
+
+
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of sets, of their own bands and the ones below, and the number of the set each belongs to."""
+    low = np.array(bands(percent))
+    own = np.searchsorted(low, [len(s) for s in sets], "right") - 1
+    found, of = [], []
+    for below in (0, 1):
+        # Sets of different single sizes can't be similar.
+        chosen = [i for i, b in enumerate(own.tolist()) if b >= below and not (below and low[b] - low[b - 1] == 1 and instance(b - 1, percent)[0] == 1)]
+        if not chosen:
             continue
-        n1, agree, salts, _ = instance(band, percent)
-        if n1 == 1 and len(low) and low[band + 1] - low[band] == 1 and band != own:
-            continue  # sets of different single sizes can't be similar
-        mixed = mix64(items ^ np.uint64(0xA0761D6478BD642F))
-        cell = (mixed % np.uint64(n1 * SECOND)).astype(np.int64)
-        sums = np.zeros(n1 * SECOND, np.uint64)
+        parts = [instance(int(own[i]) - below, percent) for i in chosen]
+        items = np.concatenate([sets[i] for i in chosen])
+        sizes, n1 = np.array([len(sets[i]) for i in chosen]), np.array([p[0] for p in parts])
+        base = np.cumsum(n1 * SECOND) - n1 * SECOND
+        cell = (mix64(items ^ np.uint64(0xA0761D6478BD642F)) % np.repeat((n1 * SECOND).astype(np.uint64), sizes)).astype(np.int64) + np.repeat(base, sizes)
+        total = int((n1 * SECOND).sum())
+        sums = np.zeros(total, np.uint64)
         np.add.at(sums, cell, mix64(items))
-        counts = np.bincount(cell, minlength=n1 * SECOND).reshape(n1, SECOND)
-        sums = sums.reshape(n1, SECOND)
+        sums, counts = sums.reshape(-1, SECOND), np.bincount(cell, minlength=total).reshape(-1, SECOND)
         rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums  # all sub-parts but one
         full = counts.sum(axis=1)[:, None] - counts > 0
-        found = mix64(rest + salts)
         # Signatures of empty content are needed only where too few parts are sure to have content.
-        out.append(found.ravel() if (~full.all(axis=1)).sum() >= agree else found[full])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        empty = np.add.reduceat((~full.all(axis=1)).astype(np.int64), np.cumsum(n1) - n1)
+        keep = full | np.repeat(empty >= np.array([p[1] for p in parts]), n1)[:, None]
+        found.append(mix64(rest + np.concatenate([p[2] for p in parts]))[keep])
+        of.append(np.repeat(np.repeat(np.array(chosen), n1), SECOND).reshape(-1, SECOND)[keep])
+    return (np.concatenate(found), np.concatenate(of)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of longs for each set: the parities of its shingles in SLOTS slots, which the top bits of their hashes choose."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    slot = (np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+    odd = np.bincount(owner * SLOTS + slot, minlength=len(sets) * SLOTS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8").reshape(len(sets), -1)
 
 
-def _sets(docs: DataFrame, words: int, split) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, and its counts in slots (255 stands for more)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("twin", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("whole", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)])
+def _sets(texts: DataFrame, words: int, alnum: bool) -> DataFrame:
+    """doc_id, twin, n_shingles, node (a 128-bit digest of the set; null for an empty one) and the sketch."""
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("twin", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in _SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words, split)
-        for batch in slices(batches):
-            sets = [shingle(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), *map(pa.array, _slot_counts(sets).T)], names=schema.names)
+        for batch in text_slices(batches, "text"):
+            sets = shingles(batch.column("text").to_pylist(), words, alnum)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), *map(pa.array, sketches(sets).T)], names=schema.names)
 
-    return docs.withColumn("twin", F.xxhash64("text")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
-def _slot_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of longs for each set; slots by the top bits of the shingles' hashes."""
-    counts = np.array([np.bincount((s >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64), minlength=SLOTS) for s in sets], np.int64).reshape(-1, SLOTS)
-    return np.ascontiguousarray(np.minimum(counts, 255).astype(np.uint8)).view("<i8")
+def _signature_rows(texts: DataFrame, words: int, percent: int, alnum: bool) -> DataFrame:
+    """A row (sig, node) for each signature of each distinct set of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in text_slices(batches, "text"):
+            new: dict[bytes, np.ndarray] = {}
+            for items in shingles(batch.column("text").to_pylist(), words, alnum):
+                if len(items) and (key := digest(items.tobytes())) not in seen:
+                    seen.add(key)
+                    new[key] = items
+            found, of = signatures(list(new.values()), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(list(new), pa.binary()).take(pa.array(of))], names=["sig", "node"])
+
+    return texts.mapInArrow(run, "sig long, node binary")
 
 
 def _may_be_similar(percent: int, a: str = "a_", b: str = "b_") -> Column:
-    """Whether sizes and counts of two sets leave it open that they are similar. Never false for similar sets."""
+    """Whether sizes and sketches of two sets leave it open that they are similar. Never false for similar sets."""
     n, m = F.col(a + "n_shingles"), F.col(b + "n_shingles")
-    apart = F.lit(0).cast("long")
-    for c in _COUNTS:
-        for shift in range(0, 64, 8):
-            apart = apart + F.abs(F.shiftright(F.col(a + c), shift).bitwiseAND(F.lit(255)) - F.shiftright(F.col(b + c), shift).bitwiseAND(F.lit(255)))
+    apart = F.lit(0)
+    for c in _SKETCH:
+        apart = apart + F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c)))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
-def _signature_rows(docs: DataFrame, words: int, percent: int, split) -> DataFrame:
-    """A row for each signature of each distinct set of a task, under the id of its first document there."""
-    schema = T.StructType([T.StructField("sig", T.LongType()), docs.schema["doc_id"]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen = Shingler(words, split), set()
-        for batch in slices(batches):
-            found, at = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                items = shingle(text)
-                if not len(items) or (key := digest(items.tobytes())) in seen:
-                    continue
-                seen.add(key)
-                found.append(signatures(items, percent))
-                at.append(np.full(len(found[-1]), k))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("doc_id").take(pa.array(np.concatenate(at)))], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, split) -> DataFrame:
-    """Those of the pairs (a, b) that are similar. Pairs are sorted by a, whose set is made once for a run of them."""
-    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, last, held = Shingler(words, split), None, None
-        for batch in slices(batches):
-            keep = []
-            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if a != last:
-                    last, held = a, shingle(ta)
-                keep.append(similar(held, shingle(tb), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, pairs.select("a", "b").schema)
-
-
-def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", split=space_words) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the smallest id that links lead to.
-
-    Two documents link where 100 * intersection >= percent * union of their shingle sets.
-    Null and empty texts, or those without words, have no shingles and link with nothing.
-    Rows of one id share a component; if their texts differ, one with words of them (that of
-    the least hash) stands for the id where sets are similar but not equal. Rows without an
-    id are left out.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sets = materialize(_sets(docs, words, split), "sets")
-    classes = sets.where("n_shingles > 0").groupBy("whole").agg(F.min("doc_id").alias("rep"))
-    reps = sets.where("n_shingles > 0").select("doc_id", "whole").distinct().join(classes, "whole").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-
+class _Linker:
+    """Verified links and components of the nodes of one join."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, words: int, percent: int, alnum: bool):
+        self.texts, self.nodes, self.words, self.percent, self.alnum = texts, nodes, words, percent, alnum
+        self.tried: DataFrame | None = None
+        self.found: DataFrame | None = None
+
+    def side(self, name: str) -> DataFrame:
+        return self.nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n_shingles", *_SKETCH)])
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that sizes and sketches leave open."""
+        return pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(_may_be_similar(self.percent)).select("a", "b")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are similar. Pairs are sorted by a, whose set is made once for a run of them."""
+        right = pairs.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        both = right.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+        words, percent, alnum = self.words, self.percent, self.alnum
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = held = None
+            for batch in text_slices(batches, "text_b"):
+                keep = []
+                for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b").to_pylist(), strict=True):
+                    if a != last:
+                        last, (held,) = a, shingles([ta.as_py()], words, alnum)
+                    keep.append(similar(held, shingles([tb], words, alnum)[0], percent))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return both.mapInArrow(run, pairs.select("a", "b").schema)
+
+    def link(self, pairs: DataFrame) -> bool:
+        """Verify pairs that weren't yet, and join the components of those that are similar; whether there were any."""
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        links = materialize(self.verified(pairs), "links")
+        if links.isEmpty():
+            return False
+        known = links if self.found is None else links.union(self.found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.found = connected_components(known)
+        return True
+
+    def components(self, rows: DataFrame) -> DataFrame:
+        """Rows with a node, and its component c."""
+        if self.found is None:
+            return rows.withColumn("c", F.col("node"))
+        return rows.join(self.found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def link_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", alnum: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, twin, n_shingles, node), one for each of `docs`, and the nodes' components with their first rows (node, first: no id, doc_id, twin)."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text"))
+    sets = materialize(_sets(texts, words, alnum), "sets")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "twin")
+    one = F.struct(place.alias("first"), "n_shingles", *_SKETCH)
+    nodes = materialize(sets.where("n_shingles > 0").groupBy("node").agg(F.min(one).alias("s")).select("node", "s.*"), "nodes")
+
+    # One text of each node gives its signatures (and, where a bitmap can't tell, some more do).
+    reps = nodes.select("node", "first.doc_id", "first.twin")
+    rows = _signature_rows(probable(texts, reps, ["doc_id", "twin"]).select("text"), words, percent, alnum)
     bucket = Window.partitionBy("sig")
-    rows = _signature_rows(docs, words, percent, split).withColumn("first", F.min("doc_id").over(bucket)).withColumn("last", F.max("doc_id").over(bucket)).where("first <> last")
-    shared = materialize(rows.select("sig", "doc_id", "first"), "buckets")
-    members = shared.select("doc_id").distinct()
-    texts = materialize(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(members, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
-
-    counts = sets.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("twin", "n_shingles", *_COUNTS)).alias("s")).select("doc_id", "s.n_shingles", *[f"s.{c}" for c in _COUNTS])
-
-    def side(name: str) -> DataFrame:
-        return counts.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n_shingles", *_COUNTS)])
-
-    pairs = shared.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_be_similar(percent)).select("a", "b"), "stars")
-    edges = materialize(_verified(stars, texts, words, percent, split), "links")
-    same = sets.where("n_shingles > 0").join(classes, "whole").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    found = connected_components(edges.union(same))
-
-    held = shared.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", "first", F.coalesce("component", "doc_id").alias("c"))
-    apart = held.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).where("low <> high and doc_id <> first").select("sig", "doc_id", "c")
-    apart = materialize(apart.join(counts, "doc_id"), "apart")
-    left, right = (apart.select("sig", F.col("doc_id").alias(x), F.col("c").alias("c" + x), *[F.col(c).alias(f"{x}_{c}") for c in ("n_shingles", *_COUNTS)]) for x in "ab")
-    rest = materialize(left.join(right, "sig").where((F.col("ca") < F.col("cb")) & _may_be_similar(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = materialize(_verified(rest, texts, words, percent, split), "links")
-        if not more.isEmpty():
-            found = connected_components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    known = reps.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
-    return sets.select("doc_id", "n_shingles").join(known, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = rows.withColumn("first", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket)).where("first <> last")
+    shared = materialize(rows, "buckets")
+    members = materialize(reps.join(shared.select("node").distinct(), "node"), "members").select("node", F.col("doc_id").alias("id"), F.col("twin").alias("of"))
+    few = probable(texts, members.select(F.col("id").alias("doc_id"), F.col("of").alias("twin")), ["doc_id", "twin"])
+    held = few.join(members, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("twin") == F.col("of"))).select("node", "text").dropDuplicates(["node"])
+    linker = _Linker(materialize(held, "texts"), nodes, words, percent, alnum)
+
+    linker.link(linker.bounded(shared.where("node <> first").select(*_ordered("first", "node")).distinct()))
+    apart = shared.select("sig", "node")
+
+    def still_apart(rows: DataFrame) -> DataFrame:
+        known = linker.components(rows.select("sig", "node"))
+        return materialize(known.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).where("low <> high").select("sig", "node", "c"), "apart")
+
+    apart = still_apart(apart)
+    for n in range(ROUNDS):
+        chance = F.xxhash64("node", F.lit(n))
+        centre = F.min_by(F.struct("node", "c"), chance).over(bucket)
+        pairs = apart.withColumn("centre", centre).where("c <> centre.c").select("node", F.col("centre.node").alias("other")).select(*_ordered("node", "other")).distinct()
+        if not linker.link(linker.bounded(pairs)):
+            break
+        apart = still_apart(apart)
+    rest = materialize(apart.join(nodes.select("node", "n_shingles", *_SKETCH), "node"), "apart")
+    left, right = (rest.select("sig", F.col("node").alias(x), F.col("c").alias("c" + x), *[F.col(c).alias(f"{x}_{c}") for c in ("n_shingles", *_SKETCH)]) for x in "ab")
+    linker.link(left.join(right, "sig").where((F.col("ca") < F.col("cb")) & _may_be_similar(percent)).select(*_ordered("a", "b")).distinct())
+
+    known = linker.components(nodes.select("node", "first"))
+    labels = known.groupBy("c").agg(F.min("first").alias("first"))
+    return sets.select("doc_id", "twin", "n_shingles", "node"), known.select("node", "c").join(labels, "c").select("node", "first")
+
+
+def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", alnum: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles and component_id, the smallest id that links lead to.
+
+    Two rows link where 100 * intersection >= percent * union of their shingle sets. Null and
+    empty texts, or those without words, have no shingles and link with nothing. Rows of one
+    id are documents of their own, which link by their texts alone. Rows without an id link
+    like others, and have no component_id if no row with an id is in reach. An empty table
+    gives an empty table; texts may have any length.
+    """
+    rows, labels = link_rows(docs, words, percent, id_col, text_col, alnum)
+    return rows.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the smallest id; all columns. Rows repeated in id and text are one."""
-    linked = link_documents(docs, words, percent, id_col, text_col, alnum_words)
-    gone = linked.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    nth = free_name(docs.columns, "nth")
+    """One row of each component, that of the smallest id (and, of that, of the text of the least hash); all columns.
+
+    Rows without an id come last. Rows that are equal in id and text are one; texts without
+    words are in no component, and stay.
+    """
+    rows, labels = link_rows(docs, words, percent, id_col, text_col, alnum=True)
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("twin") == F.col("first.twin")))
+    id_, of, nth = (free_name(docs.columns, x) for x in ("gone_id", "gone_twin", "nth"))
+    gone = rows.join(labels, "node").where(later).select(F.col("doc_id").alias(id_), F.col("twin").alias(of)).distinct()
+    held = docs.join(gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(of)), "left_anti")
     twins = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
-    return docs.join(gone, id_col, "left_anti").withColumn(nth, F.row_number().over(twins)).where(F.col(nth) == 1).select(docs.columns)
+    return held.withColumn(nth, F.row_number().over(twins)).where(F.col(nth) == 1).select(docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of whole documents by shingles of four words at 85 percent; nulls, repeated and empty rows as link_documents says."""
     return link_documents(table(spark, sf_dir, "documents"), words=4, percent=85)

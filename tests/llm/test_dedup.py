@@ -135,7 +135,9 @@ def test_signatures_lose_no_link():
                         break
                     b = more
                 if J.similar(a, b, percent):
-                    assert set(J.signatures(a, percent)) & set(J.signatures(b, percent)), (percent, size)
+                    assert set(J.signatures([a], percent)[0]) & set(J.signatures([b], percent)[0]), (percent, size)
+                    apart = np.bitwise_count(np.bitwise_xor(*J.sketches([a, b])).view(np.uint64)).sum()
+                    assert apart <= len(np.setxor1d(a, b))
 
 
 def test_components(spark):
@@ -147,25 +149,32 @@ def test_components(spark):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(len(w))] = str(rng.randint(0, 999))
         rows.append((i, " ".join(w), "c"))
-    rows += [(200, None, "c"), (201, "", "c"), (202, " \n", "c"), (203, rows[3][1], "c"), (203, rows[3][1], "c"), (None, rows[3][1], "c")]
+    rows += [(200, None, "c"), (201, "", "c"), (202, " \n", "c"), (203, rows[3][1], "c"), (203, rows[3][1], "c"), (None, rows[3][1], "c"), (None, "no id of its own", "c")]
+    rows += [(204, rows[5][1], "c"), (204, rows[6][1] + " more", "c"), (204, "a text of that id that is like no other", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, rep string").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.link_documents(df, 4, 85).collect()}
-    own = {d: sets(t, 4) for d, t, _ in rows if d is not None}
-    parent = {d: d for d in own}
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.link_documents(df, 4, 85).collect()), key=repr)
+    own = [sets(t, 4) for _, t, _ in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in own:
-        for b in own:
-            if a < b and own[a] and own[b] and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b]):
+    for a in parent:
+        for b in range(a):
+            if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b]):
                 p, q = sorted((find(a), find(b)))
                 parent[q] = p
-    assert got == {d: (len(s), find(d)) for d, s in own.items()}
+    label = {}
+    for i, (d, _, _) in enumerate(rows):
+        if d is not None:
+            label[find(i)] = min(d, label.get(find(i), d))
+    assert got == sorted(((d, len(own[i]), label.get(find(i))) for i, (d, _, _) in enumerate(rows)), key=repr)
     kept = J.keep_first(df, 4, 85)
     assert kept.columns == df.columns
-    firsts = {r["doc_id"] for r in kept.collect()}
-    assert {200, 201, 202, 0} <= firsts and 203 not in firsts and all(got[d][1] == d for d in firsts if d is not None)
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    groups = [find(rows.index((d, t, "c"))) for d, t in left]
+    assert len(set(groups)) == len(groups) == len({find(i) for i in range(len(rows))})  # one row of each component
+    assert all(d == label.get(g) for (d, _), g in zip(left, groups, strict=True))
     assert J.link_documents(df.limit(0)).count() == 0
