@@ -32,16 +32,24 @@ _BLOCK = 64
 
 
 def with_units(lines: DataFrame, min_words: int) -> DataFrame:
-    """Of rows with a `line`, those with a word, with `words`, in lower case, in place of the line; and `units`, what near
-    copies are told by: the words if there are min_words, or else the letters of scripts without spaces, one by one,
-    with the words between them, if there are twice as many; or else nothing.
+    """Of rows with a `line`, those with a word, with `words`, in lower case and one space apart, in place of the line; and
+    `units`, what near copies are told by: the words if there are min_words, or else the letters of scripts without
+    spaces, one by one, with the words between them, if there are twice as many; or else an empty string.
     """
     own = [c for c in lines.columns if c != "line"]
     held = lines.select(*own, F.btrim(F.lower("line"), F.lit(_SPACE)).alias("line")).where("line <> ''")
-    held = held.select(*own, "line", F.split("line", r"\s+").alias("words"))
-    letters = F.when((F.octet_length("line") > F.char_length("line")) & (F.size("words") < min_words) & F.col("line").rlike(_UNSPACED), F.split(F.btrim(F.regexp_replace("line", f"({_UNSPACED})", " $1 "), F.lit(_SPACE)), r"\s+"))
+    odd = F.lit(False)
+    for c in ["  ", *_SPACE[1:]]:
+        odd = odd | F.col("line").contains(c)
+    held = held.select(*own, F.when(odd, F.regexp_replace("line", r"\s+", " ")).otherwise(F.col("line")).alias("words"))
+    letters = F.when((F.octet_length("words") > F.char_length("words")) & (count_words("words") < min_words) & F.col("words").rlike(_UNSPACED), F.regexp_replace(F.btrim(F.regexp_replace("words", f"({_UNSPACED})", " $1 ")), " +", " "))
     held = held.select(*own, "words", letters.alias("letters"))
-    return held.select(*own, "words", F.when(F.size("words") >= min_words, F.col("words")).when(F.size("letters") >= 2 * min_words, F.col("letters")).otherwise(F.slice("words", 1, 0)).alias("units"))
+    return held.select(*own, "words", F.when(count_words("words") >= min_words, F.col("words")).when(count_words("letters") >= 2 * min_words, F.col("letters")).otherwise("").alias("units"))
+
+
+def count_words(words: str) -> Column:
+    """Of a string, not empty, of words one space apart."""
+    return F.octet_length(words) - F.octet_length(F.replace(F.col(words), F.lit(" "), F.lit(""))) + 1
 
 
 def _xor(values: Column) -> Column:
@@ -107,13 +115,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     lines = with_units(texts.select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("pos", "line")), min_words)
-    n = F.size("units")
+    n = F.col("n")
 
-    def halves(m: Column, name: str) -> list[Column]:
+    def halves(m: Column) -> list[Column]:
         h = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit("head"), m, F.slice("units", 1, h)).alias(name), F.xxhash64(F.lit("tail"), m, F.slice("units", n - (m - h) + 1, m - h))]
+        return [F.xxhash64(F.lit("head"), m, F.call_function("substring_index", F.col("units"), F.lit(" "), h)), F.xxhash64(F.lit("tail"), m, F.call_function("substring_index", F.col("units"), F.lit(" "), h - m))]
 
-    keyed = lines.select("doc_id", "twin", "pos", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"), F.when(n > 0, F.array(*halves(n, "x"), *halves(n - 1, "y"))).alias("halves"))
+    lines = lines.select("doc_id", "twin", "pos", "words", "units", count_words("units").alias("n"))
+    keyed = lines.select("doc_id", "twin", "pos", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"), F.when(F.col("units") != "", F.array(*halves(n), *halves(n - 1))).alias("halves"))
     keyed = materialize(keyed, "lines")
     place = F.struct("doc_id", "twin", "pos")
     first = materialize(keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("halves").alias("halves")), "first")
@@ -126,7 +135,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     picked = _let(F.split("text", "\n"), lambda own: F.transform("wanted", lambda p: F.struct(p.alias("pos"), F.get(own, p).alias("line"))))
     held = probable(texts, near, ["doc_id", "twin"]).join(near, ["doc_id", "twin"]).select("doc_id", "twin", F.explode(picked).alias("l")).select("doc_id", "twin", "l.pos", "l.line")
-    held = with_units(held, min_words).select(place.alias("at"), F.col("units").alias("words")).dropDuplicates(["at"])
+    held = with_units(held, min_words).where("units <> ''").select(place.alias("at"), F.split("units", " ").alias("words")).dropDuplicates(["at"])
     held = materialize(held, "near")
 
     variants = held.select("at", F.size("words").alias("n"), F.explode(_variants(F.col("words"))).alias("v")).select("at", F.xxhash64(F.when(F.col("v.place") == 0, F.col("n")).otherwise(F.col("n") - 1), "v.key").alias("key"), "v.place")
@@ -162,7 +171,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = _let(F.split(text_col, "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n"))
     return out.select(
         *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.char_length(text_col) - F.char_length(F.translate(text_col, "\n", "")) + 1).cast("long").alias(total),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long").alias(total),
         F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(removed),
     )
 
