@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import digest, mix64, new_path, slices, table
+from .common import digest, mix64, new_path, slices, table, text_slices
 from .tokens import default_vocabulary, encoder
 
 END_ID = 1
@@ -90,13 +90,12 @@ def chunk_documents(docs: DataFrame, vocabulary: str, end_id: int, dtype: str, i
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, width = encoder(vocabulary, dtype), np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
+        enc, width = encoder(vocabulary, dtype), np.dtype(dtype).itemsize
         gear = mix64(np.arange(1, enc.size + 1, dtype=np.uint64))
         row, sent = TaskContext.get().partitionId() << 36, set()
-        for batch in slices(batches):
-            data = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
-            joined = b"".join(data)
-            cuts = cut_points(np.frombuffer(joined, dtype), np.cumsum([len(d) // width for d in data]), gear)
+        for batch in text_slices(batches, "text", 1024):
+            ids, ends = enc.encode_all(batch.column("text").to_pylist(), end_id)
+            joined, cuts = ids.tobytes(), cut_points(ids, ends, gear)
             keys, sizes, new, last = [], [], {}, 0
             for e in itertools.chain.from_iterable(cuts):
                 payload = joined[last * width : e * width]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import table, text_slices
 from .tokens import default_vocabulary, encoder
 
 LIMIT, END_ID = 4096, 2
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, l
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in names), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        enc = encoder(vocabulary)
         packer = Packer(enc.ends(), limit, TaskContext.get().partitionId() << 32, with_ids)
         kind = None
 
@@ -165,11 +165,13 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, l
             cols = list(zip(*pieces, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:7]), *([pa.array(cols[7], pa.binary())] if with_ids else [])], names=schema.names)
 
-        for batch in slices(batches):
+        for batch in text_slices(batches, "text", 1024):
             kind = batch.column("doc_id").type
-            pieces = []
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                pieces += packer.add(key, enc.encode(text) + end)
+            pieces, start = [], 0
+            ids, ends = enc.encode_all(batch.column("text").to_pylist(), end_id)
+            for key, stop in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                pieces += packer.add(key, ids[start:stop].tobytes())
+                start = stop
             if pieces:
                 yield rows(pieces)
         if pieces := packer.flush(True):

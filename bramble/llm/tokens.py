@@ -7,6 +7,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space that only one of Python and the tokenizer may take as such: texts with it are encoded whole.
 _ODD_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r")
@@ -17,7 +19,7 @@ _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: The pre-tokens of the kind of vocabulary that is encoded word by word.
 _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of each of the two generations of a cache.
-_CACHE = 500_000
+_CACHE = 300_000
 
 
 def default_vocabulary() -> str:
@@ -93,6 +95,7 @@ class Encoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         self.size = tokenizer.get_vocab_size()
+        self.dtype = np.dtype(dtype)
         self.cache = WordCache(tokenizer, dtype)
         self.by_word = self._splits_at_space(tokenizer)
 
@@ -116,6 +119,26 @@ class Encoder:
             return self.cache.whole(text)
         return b"".join(map(self.cache.__getitem__, text.split()))
 
+    def encode_all(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts, each with the end id behind it, and the places where they end. A word is looked up once, however often it occurs in them."""
+        if not self.by_word or any(c in t for t in texts if t for c in _ODD_SPACE):
+            data = [self.encode(t) for t in texts]
+            end = np.array([end_id], self.dtype).tobytes()
+            return np.frombuffer(end.join([*data, b""]), self.dtype), np.cumsum([len(d) // self.dtype.itemsize + 1 for d in data])
+        lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        words = lists.flatten().dictionary_encode()
+        cache = self.cache
+        values = [cache[w] if w else b"" for w in words.dictionary.to_pylist()]
+        values.append(np.array([end_id], self.dtype).tobytes())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        flat, first = np.frombuffer(b"".join(values), self.dtype), np.cumsum(sizes) - sizes
+        stops = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        codes = np.insert(words.indices.to_numpy(), stops, len(values) - 1)
+        n = sizes[codes]
+        total = np.cumsum(n)
+        ids = flat[np.arange(total[-1] if len(total) else 0) + np.repeat(first[codes] - (total - n), n)]
+        return ids, total[stops + np.arange(len(stops))] if len(stops) else stops
+
     def ends(self, marks: str = ".!?") -> np.ndarray:
         """For each id, whether its piece ends a sentence."""
         out = np.zeros(self.size, bool)

@@ -10,7 +10,7 @@ pytest.importorskip("public_tokenizers")
 
 from bramble.llm.content_store import crc_combine, cut_points, faults, merkle_root, read_documents, verify_store, write_store
 from bramble.llm.packing import best_cuts, pack
-from bramble.llm.tokens import Encoder, default_vocabulary
+from bramble.llm.tokens import _ODD_SPACE, Encoder, default_vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +30,11 @@ def test_encoder_equals_library(library):
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)] + ["<|endoftext|> a<|startoftext|>b", "don't I'LL", "x" * 5000, None, ""]
     for t in texts:
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == ids_of(library, t)
+    plain = [None if t is None else "".join(c for c in t if c not in _ODD_SPACE) for t in texts]
+    for some in (texts, plain, plain[:1], [None, ""], []):
+        ids, ends = enc.encode_all(some, 7)
+        assert ids.tolist() == [i for t in some for i in [*ids_of(library, t), 7]]
+        assert ends.tolist() == np.cumsum([len(ids_of(library, t)) + 1 for t in some]).tolist()
 
 
 def test_crc_combine():
