@@ -85,10 +85,14 @@ def refine(data: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = key << np.uint64(8) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
-    # Suffixes of fewer than eight bytes are told from others by their length.
-    short = np.maximum(8 - (n - order), 0)
-    starts = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (short[1:] > 0) | (short[:-1] > 0)])
+    # The last suffixes, of fewer than eight bytes, come before longer ones of the same key.
+    short = max(n - 7, 0)
+    order = np.argsort(key[:short])
+    last = np.arange(n - 1, short - 1, -1)
+    last = last[np.argsort(key[last], kind="stable")]
+    order = np.insert(order, np.searchsorted(key[order], key[last]), last)
+    ordered, whole = key[order], order < short
+    starts = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | ~whole[1:] | ~whole[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
     h = 8
@@ -101,7 +105,7 @@ def refine(data: np.ndarray, depth: int) -> np.ndarray:
         ahead = at + h
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         group = rank[at]
-        by = np.lexsort((second, group))
+        by = np.argsort(group * (n + 1) + second)
         at, second, group = at[by], second[by], group[by]
         order[tied] = at
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
@@ -121,7 +125,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, ends: np.ndarray, most:
     if not n:
         return np.zeros(0, np.int64)
     before = np.concatenate([[-1], order[:-1]])
-    by_text = np.argsort(order, kind="stable")
+    by_text = np.full(len(data), -1)
+    by_text[order] = np.arange(n)
+    by_text = by_text[by_text >= 0]
     i, j = order[by_text], before[by_text]
     room = np.where(j < 0, 0, np.minimum(ends[i] - i, ends[np.maximum(j, 0)] - j))
     follows = np.concatenate([[False], (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1) & (j[:-1] >= 0) & (data[i[:-1]] == data[np.maximum(j[:-1], 0)]) & (ends[i[1:]] == ends[i[:-1]]) & (ends[np.maximum(j[1:], 0)] == ends[np.maximum(j[:-1], 0)])])
