@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .relation import Aggregation, Relation
+from .strategies import broadcast_if_small
 
 
 def forward(relation: Relation, limit: int | None = None) -> Relation:
@@ -28,9 +28,9 @@ def aggregate(relation: Relation, keys: Sequence[str], **columns: Aggregation) -
 
 
 def broadcast(relation: Relation) -> Relation:
-    """All rows to every task; the caller says that they are few."""
+    """All rows to every task, if Spark's estimate bears out that they are few."""
     relation.gates.check("exchange_broadcast")
-    return Relation(F.broadcast(relation.df), relation.types, relation.gates, relation.catalog)
+    return Relation(broadcast_if_small(relation.df), relation.types, relation.gates, relation.catalog)
 
 
 def discard(relation: Relation) -> None:

@@ -17,8 +17,10 @@ from ..functions import registry
 from ..functions.scalar import Expr, compare, comparison_type, expr
 from ..plans.gates import Gates
 from ..types import Category, Type
+from .strategies import broadcast_if_small, fits_in_a_broadcast, interval_join, is_number
 
 JOIN_KINDS = ("inner", "left_outer", "left_outer_at_most_one", "full_outer", "semi", "anti")
+_SEVERAL = "more than one row matches in an at-most-one join"
 _SPARK_JOINS = {"inner": "inner", "left_outer": "left", "full_outer": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
@@ -173,7 +175,9 @@ class Relation:
 
         kinds: inner, left_outer, left_outer_at_most_one (a second match is an error when it
         is met), full_outer, semi, anti. Names must differ between the sides.
-        strategy: broadcast (its size is the caller's claim), merge or hash; by default Spark decides.
+        strategy: broadcast (if Spark's estimate of the right side bears it out), merge or hash; by
+        default Spark decides. An inner join on range terms alone that put a number of one
+        side between two of the other is laid out by bins where no side is small.
         """
         if kind not in JOIN_KINDS:
             raise fail(Code.UNSUPPORTED_FEATURE, f"there is no {kind} join")
@@ -186,7 +190,7 @@ class Relation:
             self.gates.check("exchange_broadcast")
             if kind == "full_outer":
                 raise fail(Code.UNSUPPORTED_FEATURE, "a full outer join can't broadcast a side")
-            right = F.broadcast(right)
+            right = broadcast_if_small(right)
         elif strategy in ("merge", "hash"):
             right = right.hint({"merge": "merge", "hash": "shuffle_hash"}[strategy])
         elif strategy is not None:
@@ -202,17 +206,46 @@ class Relation:
         for t in terms:
             where = t.column if where is None else where & t.column
         if kind == "left_outer_at_most_one":
-            return self._at_most_one(other, where)
+            if on and condition is None and not lower and all(self.df.schema[a].dataType == other.df.schema[b].dataType for a, b in on):
+                return self._at_most_one_by_key(other, on, strategy)
+            return self._at_most_one(other, right, where)
+        if kind == "inner" and not on and (interval := self._interval(other, lower)) and not (fits_in_a_broadcast(left) or fits_in_a_broadcast(right)):
+            return self._of(interval_join(*interval, where).select(*self.types, *other.types), self.types | other.types)
         if where is None and kind == "inner":
             return self._of(left.crossJoin(right), self.types | other.types)
         out = left.join(right, F.lit(True) if where is None else where, _SPARK_JOINS[kind])
         return self._of(out, self.types if kind in ("semi", "anti") else self.types | other.types)
 
-    def _at_most_one(self, other: Relation, where: Column | None) -> Relation:
-        marked, mark = self.df.withColumn("__row_id", F.monotonically_increasing_id()), other.df.withColumn("__there", F.lit(1))
+    def _interval(self, other: Relation, lower: Sequence[tuple[str, str, str]]) -> tuple[DataFrame, str, str, DataFrame, str] | None:
+        """The interval side with its ends, and the side of the points, if range terms bound a number of one side by two of the other."""
+        for own, far, terms in ((self, other, lower), (other, self, [(b, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op), a) for a, op, b in lower])):
+            for low, op, point in terms:
+                if op not in ("<", "<="):
+                    continue
+                for high, op_, point_ in terms:
+                    if op_ in (">", ">=") and point_ == point and all(is_number(*x) for x in ((own.df, low), (own.df, high), (far.df, point))):
+                        return own.df, low, high, far.df, point
+        return None
+
+    def _at_most_one_by_key(self, other: Relation, on: Sequence[tuple[str, str]], strategy: str | None) -> Relation:
+        """One row for each key on the right, with how many it had: an error where a key with several is met."""
+        keys = [b for _, b in on]
+        rest = [c for c in other.types if c not in keys]
+        one = other.df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("__m"), *[F.first(c).alias(c) for c in rest])
+        one = broadcast_if_small(one) if strategy == "broadcast" else one.hint({"merge": "merge", "hash": "shuffle_hash"}[strategy]) if strategy else one
+        where = None
+        for a, b in on:
+            term = self.df[a] == one[b]
+            where = term if where is None else where & term
+        joined = self.df.join(one, where, "left")
+        checked = F.when(F.col("__m") > 1, F.raise_error(F.lit(_SEVERAL))).otherwise(F.lit(True))
+        return self._of(joined.withColumn("__ok", checked.cast("boolean")).where("__ok").select(*self.types, *other.types), self.types | other.types)
+
+    def _at_most_one(self, other: Relation, right: DataFrame, where: Column | None) -> Relation:
+        marked, mark = self.df.withColumn("__row_id", F.monotonically_increasing_id()), right.withColumn("__there", F.lit(1))
         joined = marked.join(mark, F.lit(True) if where is None else where, "left")
         matches = F.count("__there").over(Window.partitionBy("__row_id"))
-        checked = F.when(matches > 1, F.raise_error(F.lit("more than one row matches in an at-most-one join"))).otherwise(F.lit(True))
+        checked = F.when(matches > 1, F.raise_error(F.lit(_SEVERAL))).otherwise(F.lit(True))
         names = [*self.types, *other.types]
         return self._of(joined.withColumn("__ok", checked.cast("boolean")).where("__ok").select(*names), self.types | other.types)
 
@@ -291,8 +324,12 @@ class Relation:
         right = other.df.select(*[other[b].column.cast(t).alias(f"__k{i}") for i, ((_, b), t) in enumerate(zip(pairs, cast, strict=True))])
         left = self.df.select(*[self.df[c] for c in self.columns], *[self[a].column.cast(t).alias(f"__l{i}") for i, (a, t) in enumerate(zip(names, cast, strict=True))])
         n = len(pairs)
+        if not distinct and keys is None:
+            own = self.df.select(*[F.col(a).cast(t).alias(a) for a, t in zip(names, cast, strict=True)])
+            out = own.intersectAll(right) if kind == "left_semi" else own.exceptAll(right)
+            return self._of(out.select(*[F.col(c).cast(self.df.schema[c].dataType).alias(c) for c in names]), self.types)
         if not distinct:  # nth copies of a key meet; nulls are equal
-            left = left.withColumn("__n", F.row_number().over(Window.partitionBy(*[f"__l{i}" for i in range(n)]).orderBy(F.lit(1))))
+            left = _nth_of_key(left, [f"__l{i}" for i in range(n)], "__n")
             right = right.groupBy(*[f"__k{i}" for i in range(n)]).agg(F.count("*").alias("__m"))
         else:
             left, right = left.dropDuplicates([f"__l{i}" for i in range(n)]), right.distinct()
@@ -315,6 +352,19 @@ class Relation:
         return self._set(other, keys, distinct, "left_anti")
 
 
+def _nth_of_key(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Number the rows of each key from 1, without all of a key's rows in one task: within each input partition, plus those of the partitions before it."""
+    part = df.withColumn("__part", F.spark_partition_id())
+    here = part.withColumn("__here", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(F.lit(1))))
+    counts = part.groupBy(*[F.col(k).alias(f"__b{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p")).agg(F.count("*").alias("__size"))
+    before = Window.partitionBy(*[f"__b{i}" for i in range(len(keys))]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__base", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")  # a row for each key and partition
+    on = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__b{i}"))
+    return here.join(counts, on).withColumn(name, F.col("__base") + F.col("__here")).select(*df.columns, name)
+
+
 class _Pair:
     """The columns of both sides of a join, for its condition."""
 

@@ -15,6 +15,7 @@ from ..diagnostics import Code, fail
 from ..functions.registry import call
 from ..functions.scalar import assign, expr
 from ..operators.relation import Relation
+from ..sources import commits
 from .gates import Gates
 
 WRITE_KINDS = ("insert", "insert_overwrite", "insert_skip", "update", "delete")
@@ -64,7 +65,8 @@ def insert_rows(catalog: Catalog, table: Table, source: Relation, mapping: Mappi
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Number rows from 0 in the order of all columns: ranges are sorted apart, and their sizes give the offsets."""
     keys = [F.col(c).asc_nulls_first() for c in df.columns]
-    part = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()).persist()
+    part = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    part = part.checkpoint() if part.sparkSession.sparkContext.getCheckpointDir() else part  # both passes see the same numbers, whatever executor is lost
     held = part.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = held.groupBy("__part").agg(F.count("*").alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,9 +91,16 @@ def insert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ()) -> DataFram
     both = old.unionByName(new)
     if not keys:
         return both
-    n = F.count("*").over(Window.partitionBy(*keys))
-    ok = F.when(n > 1, F.raise_error(F.lit(f"duplicate key in {', '.join(keys)}")).cast("boolean")).otherwise(F.lit(True))
-    return both.withColumn("__ok", ok).where("__ok").drop("__ok")
+    # Only keys move, and old rows not at all: new keys are counted, and those that are there already found.
+    named = new.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__n"))
+    on = None
+    for k in keys:
+        term = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        on = term if on is None else on & term
+    there = old.select(*keys).join(named, on, "left_semi").select(F.lit(1).alias("__bad"))
+    bad = named.where("__n > 1").select(F.lit(1).alias("__bad")).unionAll(there).agg(F.count("*").alias("__bad"))  # one row
+    ok = F.when(F.col("__bad") > 0, F.raise_error(F.lit(f"duplicate key in {', '.join(keys)}")).cast("boolean")).otherwise(F.lit(True))
+    return both.crossJoin(F.broadcast(bad)).where(ok).select(both.columns)
 
 
 def _one_each(new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -170,19 +179,34 @@ def write(catalog: Catalog, table: Table, old: DataFrame, source: Relation, kind
     return update(old, rows, keys) if kind == "update" else delete(old, rows, keys)
 
 
-def replace(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write a table's next content beside it, then rename: readers see the old files or the new ones."""
-    stage = f"{path.rstrip('/')}__{uuid.uuid4().hex[:8]}"
-    df.write.parquet(stage)
-    p, new = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(stage)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = spark._jvm.org.apache.hadoop.fs.Path(stage + "_old")
-    if fs.exists(p):
-        fs.rename(p, old)
-    if not fs.rename(new, p):
-        fs.rename(old, p)
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(old, True)
+def replace(spark: SparkSession, df: DataFrame, path: str, base: int | None = None) -> int:
+    """Write a table's next content as a version of its own and commit it; returns the version.
+
+    Readers see the version they began with or the new one, never none; of two writers from
+    one version the second gets a ConflictError. `base` is the version that `df` was made
+    from, the latest by default. The version before the last stays for its readers.
+    """
+    folder = path.rstrip("/")
+    base = max(commits.versions(spark, f"{folder}/_versions"), default=0) if base is None else base
+    name = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    commits.commit(spark, f"{folder}/_versions", base + 1, {"data": name})
+    for old in commits.versions(spark, f"{folder}/_versions")[:-2]:
+        at = commits.path_of(f"{folder}/_versions", old)
+        gone = commits.read_json(spark, at)["data"]
+        for x in (at, f"{folder}/{gone}"):  # a version goes before its rows
+            fs, p = commits.file_system(spark, x)
+            fs.delete(p, True)
+    return base + 1
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """A table's content in its latest version."""
+    folder = path.rstrip("/")
+    last = commits.versions(spark, f"{folder}/_versions")
+    if not last:
+        return spark.read.parquet(folder)
+    return spark.read.parquet(f"{folder}/{commits.read_json(spark, commits.path_of(f'{folder}/_versions', last[-1]))['data']}")
 
 
 def literal_rows(spark: SparkSession, table: Table, columns: Sequence[str], rows: Sequence[Sequence[Any]]) -> Relation:

@@ -34,15 +34,18 @@ class Session:
     """Tables live as Parquet under `path`, or as frames that were registered; changes are copy-on-write."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, catalog: Catalog | None = None, gates: Gates | None = None, user: str | None = None):
-        self.spark, self.path, self.gates, self.user = spark, path, gates or Gates(), user
+        self.path, self.gates, self.user = path, gates or Gates(), user
+        settings = {"spark.sql.timeType.enabled": "true"} | self.gates.spark_conf()
+        if any(spark.conf.get(k, None) != v for k, v in settings.items()):  # the caller's session stays as it is
+            spark = spark.newSession()
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+        self.spark = spark
         self.catalog = catalog or Catalog()
         if catalog is None:
             self.catalog.add_schema(Schema("public"))
             standard_aggregates(self.catalog.add_schema(Schema("builtin")))
         self._frames: dict[str, DataFrame] = {}
-        spark.conf.set("spark.sql.timeType.enabled", "true")
-        for k, v in self.gates.spark_conf().items():
-            spark.conf.set(k, v)
 
     # Relations
 
@@ -67,8 +70,7 @@ class Session:
         table = self.catalog.table(name)
         if table.view_sql:
             return self.spark.sql(table.view_sql)
-        df = self.spark.read.parquet(f"{self.path}/{name}")
-        return df
+        return dml.current(self.spark, f"{self.path}/{name}")
 
     def table(self, name: str, hidden: bool = False) -> Relation:
         """A table's relation, without its hidden columns."""

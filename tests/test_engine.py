@@ -1,6 +1,7 @@
 """Catalog, statements, operators' diagnostics and feature gates."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from bramble import types as T
 from bramble.catalog import Aggregate, Catalog, Column, Default, Function, Index, Provider, Schema, Sequence, Table, Variable
@@ -261,3 +262,54 @@ def test_index_choice_and_ranges(spark):
     assert ranges(t) == {"a": (1, 3)} and ranges(Term("a", "<>", 1)) == {}
     assert ranges(Term(any=(Term("a", "<", 1), Term("b", "=", 1)))) == {}
     assert plan_json(rel(spark, "a", [1]).df).startswith("[")
+
+
+def test_interval_join_against_brute_force(spark):
+    import random
+
+    from bramble.operators.strategies import interval_join
+
+    rng = random.Random(3)
+    inf = float("inf")
+    numbers = [*(rng.choice([1, 1e-6, 1e9]) * rng.uniform(-50, 50) for _ in range(150)), 0.0, -0.0, 1.0, 2.0, 4.0, inf, -inf, None]
+    ends = [(i, *rng.choice([(a, a + rng.choice([0, 1e-7, 1, 3.5, 1e10])) for a in [rng.choice(numbers[:-1])]] + [(5.0, 4.0), (-inf, 3.0), (2.0, inf), (None, 1.0), (1.0, None)])) for i in range(120)]
+    left = spark.createDataFrame(ends, "i int, lo double, hi double").repartition(3)
+    right = spark.createDataFrame(list(enumerate(numbers)), "p int, x double").repartition(3)
+    got = sorted((r["i"], r["p"]) for r in interval_join(left, "lo", "hi", right, "x", F.expr("lo <= x and x < hi")).collect())
+    want = [(i, p) for i, a, b in ends if a is not None and b is not None for p, x in enumerate(numbers) if x is not None and a <= x < b]
+    assert got == sorted(want) and len(want) > 100
+
+
+def test_replace_keeps_a_version_for_readers(spark, tmp_path):
+    from bramble.sources.commits import ConflictError, versions
+
+    path = str(tmp_path / "t")
+    assert dml.replace(spark, spark.range(3), path) == 1
+    reader = dml.current(spark, path)
+    assert dml.replace(spark, spark.range(5), path) == 2 and reader.count() == 3
+    with pytest.raises(ConflictError):
+        dml.replace(spark, spark.range(9), path, base=1)
+    assert dml.current(spark, path).count() == 5
+    dml.replace(spark, dml.current(spark, path).unionAll(spark.range(1)), path)
+    assert dml.current(spark, path).count() == 6 and versions(spark, f"{path}/_versions") == [2, 3]
+    (tmp_path / "t" / "data-of-a-crashed-writer").mkdir()
+    assert dml.current(spark, path).count() == 6
+
+
+def test_insert_finds_duplicates(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    new = lambda *rows: spark.createDataFrame(list(rows), "k int, v string")
+    assert sorted(dml.insert(old, new((2, "c"), (3, "c")), ["k"]).collect(), key=str) == sorted([(1, "a"), (None, "b"), (2, "c"), (3, "c")], key=str)
+    for rows in ([(1, "z")], [(None, "z")], [(5, "x"), (5, "y")]):
+        with pytest.raises(Exception, match="duplicate key"):
+            dml.insert(old, new(*rows), ["k"]).collect()
+
+
+def test_all_copies_by_key_pairs(spark):
+    left = Relation(spark.createDataFrame([(i % 4 if i % 5 else None, i) for i in range(60)], "k int, v int").repartition(7))
+    right = Relation(spark.createDataFrame([(k,) for k in [0] * 4 + [1] * 99 + [None] * 3 + [9]], "r int"))
+    sizes = lambda x: {r["k"]: r["n"] for r in x.df.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    had = sizes(left)
+    both, rest = (sizes(f([("k", "r")], distinct=False)) for f in (lambda *a, **k: left.intersection(right, *a, **k), lambda *a, **k: left.difference(right, *a, **k)))
+    assert both == {0: 4, 1: had[1], None: 3}
+    assert rest == {0: had[0] - 4, 2: had[2], 3: had[3], None: had[None] - 3}

@@ -48,3 +48,20 @@ def test_plans(spark):
     for name in QUERIES:
         if name != "join_cross":
             assert "CartesianProduct" not in plan(name), name
+
+
+def test_plans_at_scale(spark):
+    """Without broadcasts: nothing but what is asked for is paired out, and no window deals rows by a key that may be hot."""
+    from bramble.plans.planner import explain
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda n: explain(QUERIES[n](spark, SF))
+        for name in QUERIES:
+            if name not in ("join_cross", "join_theta", "cte_self_join"):
+                assert "CartesianProduct" not in plan(name), name
+        for name in ("intersect_all", "except_all", "join_at_most_one", "dml_insert"):
+            assert "Window" not in plan(name), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -106,9 +106,8 @@ def test_expression_types(spark):
 
 
 def test_expression_values(spark):
-    Session(spark)  # switches TIME on
     lit = X.literal
-    one = spark.range(1)
+    one = Session(spark).spark.range(1)  # a session with TIME on
     value = lambda e: one.select(e.column.alias("v")).first()[0]
     assert value(lit(-7) / 2) == -3 and value(lit(-7) % 2) == -1
     assert value(lit(datetime.date(2020, 1, 1)) + X.interval(hours=25)) == datetime.date(2020, 1, 2)
