@@ -6,8 +6,9 @@ import atexit
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_state: dict[Any, Any] = {}
+
+
+def worker_state(name: Any, build: Callable[[], Any]) -> Any:
+    """What a Python worker holds from one task to the next. It holds one operator's state at a time, whatever it ran before."""
+    if name not in _state:
+        _state.clear()
+        _state[name] = build()
+    return _state[name]
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the decimal text of an id, modulo n."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))

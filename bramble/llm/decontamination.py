@@ -9,74 +9,93 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, free_name, materialize, slices
+from .common import alnum_words, free_name, materialize, slices, table, worker_state
 
 WINDOW = 8
-#: Bytes of test items in one automaton; larger benchmarks are dealt over several, one after another.
-BLOCK_BYTES = 16 << 20
+#: Bytes of test items in one automaton; larger benchmarks are dealt over several, one after another. An automaton takes
+#: some 20 bytes for each word and state of its items: 4 MB of them stay under 100 MB in a Python worker.
+BLOCK_BYTES = 4 << 20
 
 
 class SuffixAutomaton:
     """A generalised suffix automaton over word sequences, with the items of each window.
 
     A window is `window` consecutive words of an item; an item of fewer words, but not
-    none, is one window.
+    none, is one window. States are rows of flat arrays: most have one transition and one
+    item; only the others have a dictionary or a set of their own.
     """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.window = window
         self.words: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        texts: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
+        #: Of each state: its only (or first) transition's word and target, suffix link, longest length, and item.
+        self.word, self.to, self.link, self.length, self.item = (array("i", [-1]) for _ in range(5))
+        self.length[0] = 0
+        self.more: dict[int, dict[int, int]] = {}
+        texts: dict[tuple[int, ...], set[int]] = {}
+        self.names: list[str] = []
+        for name, text in items:
             ids = tuple(self.words.setdefault(w, len(self.words)) for w in alnum_words(text))
             if ids:
-                texts.setdefault(ids, set()).add(item)
+                texts.setdefault(ids, set()).add(len(self.names))
+                self.names.append(name)
         for ids in texts:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        self.items: dict[int, set[str]] = {}
-        self.short: dict[int, dict[int, set[str]]] = {}
-        for ids, names in texts.items():
-            self._mark(ids, names)
+        self.items: dict[int, set[int]] = {}
+        self.short: dict[int, dict[int, set[int]]] = {}
+        for ids, own in texts.items():
+            self._mark(ids, own)
         self.short_up = self._short_up() if self.short else {}
 
+    def _next(self, state: int, c: int) -> int:
+        """The target of a transition, or -1."""
+        if self.word[state] == c:
+            return self.to[state]
+        return self.more[state].get(c, -1) if state in self.more else -1
+
+    def _set(self, state: int, c: int, to: int) -> None:
+        if self.word[state] in (c, -1):
+            self.word[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
+
+    def _state(self, word: int, to: int, link: int, length: int) -> int:
+        for column, value in zip((self.word, self.to, self.link, self.length, self.item), (word, to, link, length, -1), strict=True):
+            column.append(value)
+        return len(self.word) - 1
+
     def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if c in nxt[last]:
-            q = nxt[last][c]
+        link, length = self.link, self.length
+        q = self._next(last, c)
+        if q >= 0:
             return q if length[q] == length[last] + 1 else self._clone(last, c, q)
-        cur = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+        cur = self._state(-1, -1, 0, length[last] + 1)
         p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
+        while p != -1 and (q := self._next(p, c)) < 0:
+            self._set(p, c, cur)
             p = link[p]
         if p != -1:
-            q = nxt[p][c]
             link[cur] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
         return cur
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        clone = len(nxt)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
+        link = self.link
+        clone = self._state(self.word[q], self.to[q], link[q], self.length[p] + 1)
+        if q in self.more:
+            self.more[clone] = dict(self.more[q])
         link[q] = clone
-        while p != -1 and nxt[p].get(c) == q:
-            nxt[p][c] = clone
+        while p != -1 and self._next(p, c) == q:
+            self._set(p, c, clone)
             p = link[p]
         return clone
 
@@ -86,29 +105,35 @@ class SuffixAutomaton:
             state = self.link[state]
         return state
 
-    def _mark(self, ids: tuple[int, ...], names: set[str]) -> None:
+    def _mark(self, ids: tuple[int, ...], own: set[int]) -> None:
         state, n = 0, len(ids)
         for k, c in enumerate(ids, 1):
-            state = self.next[state][c]
+            state = self._next(state, c)
             if k >= self.window:
-                self.items.setdefault(self._up(state, self.window), set()).update(names)
+                at = self._up(state, self.window)
+                if self.item[at] < 0 and len(own) == 1:
+                    (self.item[at],) = own
+                elif {self.item[at]} != own:
+                    self.items.setdefault(at, set()).update(own)
         if n < self.window:
-            self.short.setdefault(self._up(state, n), {}).setdefault(n, set()).update(names)
+            self.short.setdefault(self._up(state, n), {}).setdefault(n, set()).update(own)
 
-    def _short_up(self) -> dict[int, list[tuple[int, set[str]]]]:
-        """For each state, the short items that end there, by rising length."""
-        out: dict[int, list[tuple[int, set[str]]]] = {0: []}
-        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            out[state] = out[self.link[state]] + sorted(self.short.get(state, {}).items())
-        return {k: v for k, v in out.items() if v}
+    def _short_up(self) -> dict[int, list[tuple[int, set[int]]]]:
+        """For each state, the short items that end there, by rising length; states without any have no entry."""
+        out: dict[int, list[tuple[int, set[int]]]] = {}
+        for state in sorted(range(1, len(self.word)), key=self.length.__getitem__):
+            above, own = out.get(self.link[state]), self.short.get(state)
+            if above or own:
+                out[state] = (above or []) + sorted(own.items()) if own else above
+        return out
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Maximal runs of hit words as (start, end), and the items with windows that occur."""
-        get, nxt, link, length = self.words.get, self.next, self.link, self.length
-        window, short = self.window, self.short_up
+        get, word, target, more, link, length = self.words.get, self.word, self.to, self.more, self.link, self.length
+        window, short, item, items = self.window, self.short_up, self.item, self.items
         state = size = 0
         runs: list[list[int]] = []
-        found: set[str] = set()
+        found: set[int] = set()
 
         def hit(lo: int, hi: int) -> None:
             while runs and runs[-1][0] >= lo:
@@ -123,48 +148,46 @@ class SuffixAutomaton:
             if c is None:
                 state = size = 0
                 continue
-            to = nxt[state].get(c)
-            while to is None and state:
+            while word[state] != c and (state not in more or c not in more[state]) and state:
                 state = link[state]
                 size = length[state]
-                to = nxt[state].get(c)
-            if to is None:
+            if word[state] == c:
+                state = target[state]
+            elif state in more and c in more[state]:
+                state = more[state][c]
+            else:
                 size = 0
                 continue
-            state = to
             size += 1
             if size >= window:
                 at = self._up(state, window)
-                found |= self.items.get(at, set())
+                if item[at] >= 0:
+                    found.add(item[at])
+                if at in items:
+                    found |= items[at]
                 hit(i + 1 - window, i + 1)
             if short and state in short:
-                for n, names in short[state]:
+                for n, own in short[state]:
                     if n <= size:
-                        found |= names
+                        found |= own
                         hit(i + 1 - n, i + 1)
-        return [(a, b) for a, b in runs], found
+        return [(a, b) for a, b in runs], {self.names[i] for i in found}
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, window: int) -> Iterator[Broadcast]:
-    """Test items in broadcasts of checked size: the item list is dealt over as many blocks as its bytes need."""
+    """Test items in broadcasts of checked size: the item list is dealt over as many blocks as its bytes need; the driver holds one block at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = 1 + int(total) // block_bytes
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b) if n > 1 else items
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) if n > 1 else items
         yield spark.sparkContext.broadcast(([tuple(r) for r in rows.collect()], window))
 
 
-_built: dict[str, SuffixAutomaton] = {}
-
-
 def _automaton(name: str, block: Broadcast) -> SuffixAutomaton:
     """The automaton of a block: built once in each Python worker, which holds one at a time."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = SuffixAutomaton(*block.value)
-    return _built[name]
+    return worker_state(name, lambda: SuffixAutomaton(*block.value))
 
 
 _SCAN = "n_words long, runs array<struct<start:long,stop:long>>, items array<string>"
@@ -289,9 +312,8 @@ def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def op1_decontamination(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all test items in whole documents; null and empty texts have no words, repeated rows a row each, an empty table none."""
     found = scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",

@@ -82,5 +82,29 @@ def test_blocks_change_nothing(spark):
     assert {r["doc_id"]: r["text"] for r in kept.collect()}[2] == " ".join(f"x{k}" for k in range(40))
 
 
+def test_every_row_comes_out_once(spark):
+    passage = " ".join(f"w{k}" for k in range(10))
+    rows = [(4, passage), (4, passage), (7, "aa " + passage), (7, passage + " bb"), (8, passage + " " + "long " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(2)
+    bench = spark.createDataFrame([("a", passage), ("b", "other words " * 6)], "item_id string, text string")
+    for size in (1 << 20, 60, 20):
+        got = sorted((r["doc_id"], r["n_words"], [tuple(x) for x in r["runs"]], r["items"]) for r in scan_documents(docs, bench, block_bytes=size).collect())
+        assert got == [(4, 10, [(0, 10)], ["a"]), (4, 10, [(0, 10)], ["a"]), (7, 11, [(0, 10)], ["a"]), (7, 11, [(1, 11)], ["a"]), (8, 200_010, [(0, 10)], ["a"])]
+
+
+def test_memory_of_an_automaton():
+    import tracemalloc
+
+    rng = random.Random(2)
+    vocab = [f"word{k}" for k in range(20_000)]
+    items = [(str(i), " ".join(rng.choices(vocab, k=200))) for i in range(500)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    auto = SuffixAutomaton(items)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 25 * size and auto.scan(items[7][1].encode().split())[1] == {"7"}
+
+
 def test_empty_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
