@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, materialize, slices, table
+from .common import crc_mod, materialize, slices, table, worker_state
 
 #: Documents of each language that are learned from, about (by a hash of their ids): the bound of the fit.
 FIT_DOCS = 400
@@ -204,15 +204,9 @@ class Scorer:
         return self.model.languages[best], float(1.0 / np.exp(like - like[best]).sum())
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(name: str, sent) -> Scorer:
     """A Python worker's scorer, with its cache, lives on between tasks of one query."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(sent.value)
-    return _scorers[name]
+    return worker_state(name, lambda: Scorer(sent.value))
 
 
 def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", floors: bool = True) -> LanguageModel:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import worker_state
+
 #: White space that only one of Python and the tokenizer may take as such: texts with it are encoded whole.
 _ODD_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r")
 #: ASCII signs but the apostrophe: a run of them behind a word is a pre-token of its own.
@@ -147,7 +148,6 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, dtype: str = "<u4") -> Encoder:
     """One encoder for each Python worker; workers live on between tasks, and so does the cache."""
-    return Encoder(path, dtype)
+    return worker_state(("encoder", path, dtype), lambda: Encoder(path, dtype))
