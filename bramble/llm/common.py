@@ -181,20 +181,29 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: Bytes that words are hashed in at a time, and the length from which a word is hashed by itself.
 _PIECE, _LONG_WORD = 1 << 21, 1 << 16
-_LETTERS = mix64(np.arange(1, 257, dtype=np.uint64))
+_LETTERS = mix64(np.arange(1, 257, dtype=np.uint64)), mix64(np.arange(1001, 1257, dtype=np.uint64))
+
+
+def hash_ranges(letters: np.ndarray, start: np.ndarray, stop: np.ndarray, hashes: int = 1) -> list[np.ndarray]:
+    """One or two independent 64-bit hashes of each of some ranges of bytes."""
+    power, inverse = powers(1 << max(16, len(letters).bit_length()))
+    out = []
+    for values in _LETTERS[:hashes]:
+        sums = np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum(values[letters] * power[: len(letters)], out=sums[1:])
+        out.append(mix64((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64)))
+    for i in np.flatnonzero(stop - start >= _LONG_WORD).tolist():
+        whole = xxhash.xxh3_128_intdigest(letters[start[i] : stop[i]].tobytes())
+        for n in range(hashes):
+            out[n][i] = whole >> 64 * n & (1 << 64) - 1
+    return out
 
 
 def _hash_piece(data: bytes) -> np.ndarray:
     letters = np.frombuffer(data, np.uint8)
     word = np.concatenate([[False], letters != 0x20, [False]])
     start, stop = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
-    power, inverse = powers(1 << max(16, len(letters).bit_length()))
-    sums = np.zeros(len(letters) + 1, np.uint64)
-    np.cumsum(_LETTERS[letters] * power[: len(letters)], out=sums[1:])
-    out = mix64((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
-    for i in np.flatnonzero(stop - start >= _LONG_WORD).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : stop[i]])
-    return out
+    return hash_ranges(letters, start, stop)[0]
 
 
 def word_hashes(text: str | None, alnum: bool = False) -> np.ndarray:
@@ -210,6 +219,6 @@ def word_hashes(text: str | None, alnum: bool = False) -> np.ndarray:
         elif stop < 0:  # one word fills the piece
             stop = data.find(b" ", at)
             stop = len(data) if stop < 0 else stop
-            out.append(np.array([xxhash.xxh3_64_intdigest(data[at:stop])], np.uint64))
+            out.append(np.array([xxhash.xxh3_128_intdigest(data[at:stop]) & (1 << 64) - 1], np.uint64))
         at = stop + 1
     return np.concatenate(out)
