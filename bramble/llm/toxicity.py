@@ -2,10 +2,12 @@
 
 1. Words (and word beginnings) that go with the label are mined from a bounded sample of
    labelled rows and dealt over lexicon voters; pattern voters look at the form of a text.
-2. A generative model gives each voter its class-conditional vote probabilities by
-   expectation maximisation; voters that agree beyond what the class explains share
-   their weight. The annotated label is one voter among them, of fixed reliability.
-3. A logistic regression on the posterior labels scores every text.
+   A labelled row is voted on by words that were mined from the other half of the rows.
+2. A generative model estimates, by expectation maximisation, each voter's votes given the
+   class and, in a tree of dependencies, the vote it is most correlated with. The
+   annotator is a voter too, whose accuracy is estimated like that of the others; rows
+   without a label, of which a bounded sample is read, have the other votes alone.
+3. A logistic regression on the posterior labels of all these rows scores every text.
 """
 
 from __future__ import annotations
@@ -17,20 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, slices, table
+from .common import crc_mod, materialize, slices, table
 
-#: Labelled rows that are learned from, about (by a hash of their ids): the bound of the fit.
-FIT_ROWS = 8000
+#: Labelled rows, and rows without a label, that are learned from, about (by a hash of their ids): the bounds of the fit.
+FIT_ROWS, FIT_UNLABELLED = 8000, 2000
 LEXICON, LEAST_DOCS = 600, 3
 #: A term must go with the label in this share of its documents, at the lower end of a 90 % interval.
-LEAST_PRECISION = 0.4
+LEAST_PRECISION = 0.6
 GROUPS = 8
 PREFIX = 5
-ANNOTATOR = 0.97
 #: Common insults of English, a voter of its own.
 INSULTS = frozenset("idiot idiots moron stupid loser losers scum trash pathetic worthless disgusting clown dumb fool jerk".split())
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -95,44 +96,72 @@ class Features:
 
 
 class LabelModel:
-    """Class-conditional vote probabilities with shared weight for correlated voters."""
+    """A generative model of votes: the class, then each voter given the class and the voter it depends on (a tree).
 
-    def __init__(self, votes: np.ndarray, anchor: np.ndarray, rounds: int = 25):
-        """votes: rows by voters of -1, 0, 1; anchor: the annotated label of each row."""
-        n, m = votes.shape
+    The first column is the annotator, a voter like the others, but that none depends on it:
+    annotators look at texts, not at voters.
+    """
+
+    #: Votes that count as right before any is seen: a voter is better than chance. Sight of a pair counts against twice the voter alone.
+    TRUST, SHARE, SMOOTH, ALONE = 4.0, 0.7, 0.5, 2.0
+    #: Rounds in which the tree is made, from the classes as they are then; least information, in nats, for a dependency.
+    TREES, LEAST_INFORMATION = (3, 12), 0.01
+
+    def __init__(self, votes: np.ndarray, rounds: int = 60):
+        """votes: rows by voters of -1 (abstains), 0, 1."""
         one = np.eye(3)[votes + 1]  # rows, voters, what was voted
-        gold = np.where(anchor == 1, ANNOTATOR, 1 - ANNOTATOR)
-        self.weight = np.ones(m)
-        post = gold.copy()
+        ones, zeros = (votes[:, 1:] == 1).sum(axis=1), (votes[:, 1:] == 0).sum(axis=1)
+        base = ((votes[:, 0] == 1).sum() + 1) / ((votes[:, 0] >= 0).sum() + 2)
+        # To begin with the annotator is believed; without one, a row's votes move it from the base rate.
+        post = np.where(votes[:, 0] == 1, 0.95, np.where(votes[:, 0] == 0, 0.05, base * (0.5 + 0.5 * (ones + 0.5) / (ones + zeros + 1))))
+        self.parent = [-1] * votes.shape[1]
         for step in range(rounds):
+            weight = np.stack([1 - post, post])
             self.prior = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
-            self.table = np.stack([(np.einsum("n,nmv->mv", w, one) + 0.5) / (w.sum() + 1.5) for w in (1 - post, post)])
-            if step == 2:
-                self.weight = self._shares(votes, post)
-            new = self._posterior(one, gold)
-            if np.abs(new - post).max() < 1e-5 and step > 3:
+            if step in self.TREES:
+                self.parent = self._tree(one, weight)
+            self.tables = [self._table(one, weight, j) for j in range(votes.shape[1])]
+            new = self._posterior(votes)
+            if step > self.TREES[-1] and np.abs(new - post).max() < 1e-4:
                 break
             post = new
         self.labels = post
-        self.accuracy = np.array([((votes[:, j] == 1) * post + (votes[:, j] == 0) * (1 - post)).sum() / max(1, (votes[:, j] >= 0).sum()) for j in range(m)])
-
-    def _posterior(self, one: np.ndarray, gold: np.ndarray) -> np.ndarray:
-        ratio = np.log(self.table[1]) - np.log(self.table[0])
-        score = np.einsum("nmv,mv->n", one, ratio * self.weight[:, None]) + np.log(self.prior / (1 - self.prior)) + 1.5 * np.log(gold / (1 - gold))
+        right = post[:, None] * (votes == 1) + (1 - post)[:, None] * (votes == 0)
+        #: Share of a voter's votes that are right.
+        self.accuracy = right.sum(axis=0) / np.maximum((votes >= 0).sum(axis=0), 1)
+
+    def _table(self, one: np.ndarray, weight: np.ndarray, j: int) -> np.ndarray:
+        """Probabilities of votes by class and vote of the voter that j depends on (one row if it depends on none)."""
+        alone = weight @ one[:, j] + self.SMOOTH + self.TRUST * np.array([[0, self.SHARE, 1 - self.SHARE], [0, 1 - self.SHARE, self.SHARE]])
+        alone = (alone / alone.sum(axis=1, keepdims=True))[:, None, :]
+        if self.parent[j] < 0:
+            return alone
+        both = np.einsum("cn,np,nv->cpv", weight, one[:, self.parent[j]], one[:, j], optimize=True) + self.ALONE * alone
+        return both / both.sum(axis=2, keepdims=True)
+
+    def _posterior(self, votes: np.ndarray) -> np.ndarray:
+        score = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
+        for j, (table_, parent) in enumerate(zip(self.tables, self.parent, strict=True)):
+            score += (np.log(table_[1]) - np.log(table_[0]))[votes[:, parent] + 1 if parent >= 0 else 0, votes[:, j] + 1]
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
-    def _shares(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """A voter's weight: 1 over 1 plus its correlations with other voters within the classes."""
-        total = np.zeros((votes.shape[1],) * 2)
-        for w in (1 - post, post):
-            mean = np.average(votes, axis=0, weights=w + 1e-12)
-            d = (votes - mean) * np.sqrt(w)[:, None]
-            cov = d.T @ d / max(w.sum(), 1e-9)
-            s = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            total += 0.5 * np.abs(cov / s[:, None] / s[None, :])
-        np.fill_diagonal(total, 0.0)
-        self.correlation = total
-        return 1 / (1 + np.where(total > 0.2, total, 0).sum(axis=1))
+    def _tree(self, one: np.ndarray, weight: np.ndarray) -> list[int]:
+        """For each voter the one it depends on: the tree of the largest information between votes within the classes, without what tells next to nothing."""
+        m = one.shape[1]
+        self.information = np.zeros((m, m))
+        for w in weight:
+            both = np.einsum("n,niu,njv->ijuv", w, one, one, optimize=True) + 1e-9
+            both /= both.sum(axis=(2, 3), keepdims=True)
+            apart = both.sum(axis=3, keepdims=True) * both.sum(axis=2, keepdims=True)
+            self.information += w.sum() / weight.sum() * (both * np.log(both / apart)).sum(axis=(2, 3))
+        np.fill_diagonal(self.information, 0.0)
+        parent, inside, outside = [-1] * m, [1][: m - 1], list(range(2, m))
+        while outside:
+            i, j = max(((i, j) for i in inside for j in outside), key=lambda x: (self.information[x], -x[1]))
+            parent[j] = i if self.information[i, j] >= self.LEAST_INFORMATION else -1
+            inside.append(j)
+            outside.remove(j)
+        return parent
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
@@ -155,8 +184,9 @@ class ToxicityModel:
 
     def __init__(self, features: Features, weights: np.ndarray, labels: LabelModel | None = None):
         self.features, self.weights = features, weights
+        #: Of the annotator and the voters; and which voter each depends on.
         self.voter_accuracy = None if labels is None else labels.accuracy
-        self.voter_correlation = None if labels is None else labels.correlation
+        self.voter_parent = None if labels is None else labels.parent
 
     def score(self, text: str | None) -> float:
         f = self.features
@@ -171,26 +201,34 @@ def precision_bound(toxic, clean):
     return (share + z * z / (2 * n) - z * ((share * (1 - share) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Learn from about `fit_rows` of the labelled rows, chosen by a hash of their ids.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_unlabelled: int = FIT_UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Learn from about `fit_rows` labelled rows and `fit_unlabelled` others, chosen by a hash of their ids.
 
     Null labels and labels without a document are left out; of several labels of a
-    document the largest counts. Without rows of both classes every score is the base rate.
+    document the largest counts. Rows without an id count as having no label. Texts may be
+    null, empty or of any length, rows repeated. Without rows of both classes every score
+    is the base rate. Documents are read once; what is chosen of them is written.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
-    share = int(1_000_000 * min(1.0, fit_rows / max(1, own.count())))
-    chosen = own.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) <= share).groupBy("id").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")  # chosen has about fit_rows rows
+    spot = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000))
+    share, other = (int(1_000_000 * min(1.0, n / max(1, df.count()))) for n, df in ((fit_rows, own), (fit_unlabelled, docs)))
+    chosen = own.where(spot <= share).groupBy("id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    read = materialize(texts.join(F.broadcast(chosen), "id", "left").where(F.col("y").isNotNull() | (F.pmod(F.xxhash64(F.lit("other"), F.col("id").cast("string")), F.lit(1_000_000)) < other)), "toxicity")  # chosen has about fit_rows rows
+    unlabelled = read.where("y is null").join(own.select("id"), "id", "left_anti")
+    rows = read.where("y is not null").unionByName(unlabelled).withColumn("half", F.when(F.col("y").isNotNull(), F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2))).otherwise(2).cast("int"))
+    rows = rows.select("text", "y", "half")
+    labelled = rows.where("y is not null")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             found: dict[str, list[int]] = {}
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            for text, y, half in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), batch.column("half").to_pylist(), strict=True):
                 for w in terms(text)[0]:
-                    found.setdefault(w, [0, 0])[1 if y else 0] += 1
-            yield pa.RecordBatch.from_pydict({"w": pa.array(list(found), pa.string()), "clean": pa.array([c for c, _ in found.values()], pa.int64()), "toxic": pa.array([t for _, t in found.values()], pa.int64())})
+                    found.setdefault(w, [0, 0, 0, 0])[2 * half + (1 if y else 0)] += 1
+            yield pa.RecordBatch.from_pydict({"w": pa.array(list(found), pa.string()), **{c: pa.array([n[i] for n in found.values()], pa.int64()) for i, c in enumerate(("c0", "t0", "c1", "t1"))}})
 
-    base = rows.agg(F.count("*"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0))).first()
+    base = labelled.agg(F.count("*"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0))).first()
     total, toxic = int(base[0]), int(base[1] or 0)
     if not toxic or toxic == total:
         features = Features([])
@@ -198,21 +236,27 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
         weights = np.zeros(9)
         weights[0] = np.log(rate / (1 - rate)) if total else -1.0
         return ToxicityModel(features, weights)
-    counts = rows.mapInArrow(words, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= LEAST_DOCS)
-    best = counts.withColumn("z", precision_bound(F.col("toxic"), F.col("clean"))).where(F.col("z") >= LEAST_PRECISION).orderBy(F.desc("z"), "w").limit(LEXICON).collect()
-    features = Features([(r["w"], r["z"]) for r in best])
-    sent = docs.sparkSession.sparkContext.broadcast(features)
+    counts = materialize(labelled.mapInArrow(words, "w string, c0 long, t0 long, c1 long, t1 long").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")]).where(F.col("t0") + F.col("t1") >= LEAST_DOCS), "terms")
+
+    def mined(bad: Column, clean: Column) -> Features:
+        best = counts.where(bad >= LEAST_DOCS).withColumn("z", precision_bound(bad, clean)).where(F.col("z") >= LEAST_PRECISION).orderBy(F.desc("z"), "w").limit(LEXICON).collect()
+        return Features([(r["w"], r["z"]) for r in best])
+
+    # A half is voted on by what the other one says; rows without a label, and all new texts, by all of it.
+    features = mined(F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"))
+    sent = docs.sparkSession.sparkContext.broadcast([mined(F.col("t1"), F.col("c1")), mined(F.col("t0"), F.col("c0")), features])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = sent.value
+        *halves, whole = sent.value
         for batch in slices(batches):
-            seen = [f.hits(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in seen], pa.list_(pa.int32())), pa.array([f.votes(*h[:3]) for h in seen], pa.list_(pa.int32())), pa.array([f.vector(*h)[len(f.lexicon) :] for h in seen], pa.list_(pa.float64())), batch.column("y")], names=["hits", "votes", "rest", "y"])
-
-    table_ = rows.mapInArrow(look, "hits array<int>, votes array<int>, rest array<double>, y int").toPandas().sort_values("y", kind="stable")  # about fit_rows short rows
-    votes = np.array(table_["votes"].tolist(), np.int64)
-    y = (table_["y"].to_numpy() > 0).astype(int)
-    model = LabelModel(votes, y)
+            texts, half = batch.column("text").to_pylist(), batch.column("half").to_pylist()
+            seen = [whole.hits(t) for t in texts]
+            votes = [[-1 if y is None else int(y > 0), *(whole.votes(*h[:3]) if k == 2 else halves[k].votes(*halves[k].hits(t)[:3]))] for t, h, k, y in zip(texts, seen, half, batch.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in seen], pa.list_(pa.int32())), pa.array(votes, pa.list_(pa.int32())), pa.array([whole.vector(*h)[len(whole.lexicon) :] for h in seen], pa.list_(pa.float64()))], names=["hits", "votes", "rest"])
+
+    table_ = rows.mapInArrow(look, "hits array<int>, votes array<int>, rest array<double>").toPandas()  # about fit_rows and fit_unlabelled short rows
+    table_ = table_.iloc[np.argsort([repr((list(v), list(r))) for v, r in zip(table_["votes"], table_["rest"], strict=True)], kind="stable")]
+    model = LabelModel(np.array(table_["votes"].tolist(), np.int64))
     x = np.zeros((len(table_), len(features.lexicon) + 9))
     for row, (hits, rest) in enumerate(zip(table_["hits"], table_["rest"], strict=True)):
         x[row, list(hits)] = 1.0
@@ -233,6 +277,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of whole documents by what the rows that aren't held out say; null and empty texts have a score too, repeated rows one each, an empty table none."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    learned = crc_mod("doc_id", 5) != 0
+    model = fit(docs.where(learned), labels.where(learned))
     return score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -76,6 +76,25 @@ def test_unlearned_languages_go(spark):
     assert len({r["doc_id"] for r in L.keep_identified(held, model).collect()}) >= 0.97 * len(before)
 
 
+def test_label_model_finds_accuracies_and_dependencies():
+    rng = np.random.default_rng(5)
+    n, right, votes_at = 6000, [0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.8], [0.7, 1.0, 0.9, 0.8, 0.9, 0.9, 0.8]
+    y = (rng.random(n) < 0.3).astype(int)
+    votes = np.stack([np.where(rng.random(n) < a, np.where(rng.random(n) < p, y, 1 - y), -1) for p, a in zip(right, votes_at, strict=True)], axis=1)
+    twin = np.where(rng.random(n) < 0.9, votes[:, 5], np.where(rng.random(n) < 0.6, y, 1 - y))  # says what voter 5 says, mostly
+    votes = np.column_stack([votes, twin])
+    model = X.LabelModel(votes)
+    assert abs(model.accuracy[:7] - right).max() < 0.05
+    assert abs(model.prior - 0.3) < 0.04
+    linked = {(j, i) for j, i in enumerate(model.parent) if i >= 0}
+    assert linked and linked <= {(7, 5), (5, 7)}  # the only dependency there is
+    best = ((model.labels >= 0.5) == y).mean()
+    majority = ((votes == 1).sum(axis=1) > (votes == 0).sum(axis=1)) == y
+    assert best > majority.mean() and best > 0.9
+    without = X.LabelModel(np.where(np.arange(8) == 0, -1, votes))  # nobody has annotated anything
+    assert abs(without.accuracy[1:7] - right[1:]).max() < 0.08
+
+
 def test_label_model_and_scores(spark):
     rng = random.Random(12)
     clean = [f"word{i}" for i in range(200)]
@@ -86,7 +105,7 @@ def test_label_model_and_scores(spark):
         rng.shuffle(w)
         rows.append((i, " ".join(w), "s"))
         labels.append((i, 1, int(toxic) if rng.random() > 0.03 else 1 - int(toxic)))
-    rows += [(900, None, "s"), (901, "", "s"), (902, "flarn", "s"), (902, "flarn", "s")]
+    rows += [(900, None, "s"), (901, "", "s"), (902, "flarn", "s"), (902, "flarn", "s"), (903, "word1 " * 300_000, "s"), (904, "word1 " * 300_000 + "grobo flarn", "s"), (None, "flarn", "s")]
     labels += [(900, 1, None), (None, 1, 1), (5000, 0, 1)]
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = X.fit(docs, marks.where("doc_id < 400 or doc_id > 700"))
@@ -94,7 +113,7 @@ def test_label_model_and_scores(spark):
     held = [(got[i], i % 5 == 0) for i in range(400, 600)]
     assert np.mean([(s >= 0.5) == t for s, t in held]) > 0.97
     assert got[900] == got[901] < 0.5 < got[902] and all(0 <= s <= 1 for s in got.values())
-    assert model.voter_correlation.shape[0] == len(model.voter_accuracy)
+    assert len(model.voter_parent) == len(model.voter_accuracy) and model.voter_accuracy[0] > 0.9
     flat = X.fit(docs, marks.where("toxic = 0"))
     assert 0 < X.score(docs.limit(1), flat).first()["score"] < 0.5
     assert 0 <= X.score(docs.limit(1), X.fit(docs, marks.limit(0))).first()["score"] <= 1
