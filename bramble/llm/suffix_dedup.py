@@ -1,6 +1,7 @@
 """Exact substring dedup with per-shard suffix arrays.
 
-A byte goes if it lies in a string of `length` bytes that starts anywhere else too.
+A byte goes if it lies in a string of `length` bytes that starts anywhere else too. The
+same search over words, as 64-bit hashes, finds passages that repeat word for word.
 
 1. Sharding. Each window of `length` bytes has an anchor, the least hashed k-gram in it, so
    that equal windows have equal anchors at the same distance. Consecutive windows with
@@ -17,34 +18,27 @@ A byte goes if it lies in a string of `length` bytes that starts anywhere else t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest, materialize, mix64, slices, table
+from .common import digest, materialize, mix64, powers, table, text_slices, word_hashes
 
 LENGTH, GRAM = 400, 64
+#: Words of a passage, and of the grams that anchor it.
+PASSAGE, PASSAGE_GRAM = 50, 8
 SHARD_BYTES = 2 << 20
 #: Runs of one anchor that one shard takes: about the same number of bytes.
 RUNS_A_SHARD = 4000
 _SLICE = 4 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
 _POSITION = np.uint64((1 << 24) - 1)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2 ** 64."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for b in (_BASE, inverse):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def symbols(text: str | None, words: bool) -> np.ndarray:
+    """What a text is a string of: its bytes, or its words (A-Z lowered, apart by white space)."""
+    return word_hashes(text) if words else np.frombuffer(text.encode("utf-8", "surrogatepass") if text else b"", np.uint8)
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -58,12 +52,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchored_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int]]:
+def anchored_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int]]:
     """(anchor's hash, first, last): runs of window starts that share an anchor; each start lies in one run."""
-    whole = np.frombuffer(data, np.uint8)
     for lo in range(0, len(data) - length + 1, _SLICE):
-        part = whole[lo : lo + _SLICE + length - 1]
-        power, inverse = _powers(1 << max(16, int(len(part)).bit_length()))
+        part = data[lo : lo + _SLICE + length - 1]
+        power, inverse = powers(1 << max(16, int(len(part)).bit_length()))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
         n = len(part) - gram + 1
@@ -74,13 +67,12 @@ def anchored_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterat
         yield from zip(hashes[least[first]].view(np.int64).tolist(), (first + lo).tolist(), (last + lo).tolist(), strict=True)
 
 
-def refine(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of bytes, sorted by the first `depth` bytes or more: Larsson-Sadakane refinement.
-
-    Ranks start from the first eight bytes; each round sorts only the groups that are still
-    tied, by the ranks of the suffixes `h` further on, and doubles `h`.
-    """
+def _first_ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes in order of their first symbols, the places where a new rank starts, and how many symbols that are: eight bytes, or one word."""
     n = len(data)
+    if data.dtype != np.uint8:
+        order = np.argsort(data)
+        return order, np.concatenate([[True], data[order][1:] != data[order][:-1]]), 1
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for j in range(8):
@@ -92,10 +84,19 @@ def refine(data: np.ndarray, depth: int) -> np.ndarray:
     last = last[np.argsort(key[last], kind="stable")]
     order = np.insert(order, np.searchsorted(key[order], key[last]), last)
     ordered, whole = key[order], order < short
-    starts = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | ~whole[1:] | ~whole[:-1]])
+    return order, np.concatenate([[True], (ordered[1:] != ordered[:-1]) | ~whole[1:] | ~whole[:-1]]), 8
+
+
+def refine(data: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix array of bytes or words, sorted by the first `depth` of them or more: Larsson-Sadakane refinement.
+
+    Each round sorts only the groups that are still tied, by the ranks of the suffixes `h`
+    further on, and doubles `h`.
+    """
+    n = len(data)
+    order, starts, h = _first_ranks(data)
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    h = 8
     while h < depth:
         alone = starts & np.append(starts[1:], True)
         tied = np.flatnonzero(~alone)
@@ -119,7 +120,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, ends: np.ndarray, most:
     """Common prefix of each suffix in `order` with the one before it, cut at its text's end: Kasai's method.
 
     In the order of the text, a suffix whose left neighbour has the same pair one place back,
-    with an equal byte, has one byte less in common; only the others are compared, eight bytes at a time.
+    with an equal symbol, has one less in common; only the others are compared, eight bytes
+    or one word at a time.
     """
     n = len(order)
     if not n:
@@ -131,24 +133,27 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, ends: np.ndarray, most:
     i, j = order[by_text], before[by_text]
     room = np.where(j < 0, 0, np.minimum(ends[i] - i, ends[np.maximum(j, 0)] - j))
     follows = np.concatenate([[False], (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1) & (j[:-1] >= 0) & (data[i[:-1]] == data[np.maximum(j[:-1], 0)]) & (ends[i[1:]] == ends[i[:-1]]) & (ends[np.maximum(j[1:], 0)] == ends[np.maximum(j[:-1], 0)])])
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.zeros(len(data), np.uint64)
-    for b in range(8):
-        words |= padded[b : b + len(data)].astype(np.uint64) << np.uint64(8 * b)
+    if data.dtype == np.uint8:
+        step, padded = 8, np.concatenate([data, np.zeros(8, np.uint8)])
+        words = np.zeros(len(data), np.uint64)
+        for b in range(8):
+            words |= padded[b : b + len(data)].astype(np.uint64) << np.uint64(8 * b)
+    else:
+        step, words = 1, data
     prefix = np.zeros(n, np.int64)
     open_ = np.flatnonzero(~follows & (j >= 0) & (room > 0))
     off = 0
     while len(open_) and off < most:
         a, b = words[np.minimum(i[open_] + off, len(data) - 1)], words[np.minimum(j[open_] + off, len(data) - 1)]
-        same = (a == b) & (off + 8 <= room[open_])
+        same = (a == b) & (off + step <= room[open_])
         done = open_[~same]
         diff = (a ^ b)[~same]
         low = diff & (~diff + np.uint64(1))
-        first = np.where(diff == 0, 8, (np.log2(np.maximum(low, 1).astype(np.float64)) // 8).astype(np.int64))
+        first = np.where(diff == 0, step, (np.log2(np.maximum(low, 1).astype(np.float64)) // 8).astype(np.int64) if step > 1 else 0)
         prefix[done] = np.minimum(off + first, room[done])
-        prefix[open_[same]] = off + 8
+        prefix[open_[same]] = off + step
         open_ = open_[same]
-        off += 8
+        off += step
     chain = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
     prefix = np.where(follows, np.minimum(np.maximum(prefix[chain] - (np.arange(n) - chain), 0), room), prefix)
     out = np.empty(n, np.int64)
@@ -156,11 +161,11 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, ends: np.ndarray, most:
     return out
 
 
-def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(contexts: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a shard by suffix array: (context, start in it, number of its group), sorted by group."""
     sizes = np.array([len(c) for c in contexts], np.int64)
     ends = np.repeat(np.cumsum(sizes), sizes)
-    data = np.frombuffer(b"".join(contexts), np.uint8)
+    data = np.concatenate(contexts)
     order = refine(data, length)
     order = order[ends[order] - order >= length]
     prefix = common_prefixes(data, order, ends, int(sizes.max(initial=0)))
@@ -182,8 +187,8 @@ _RUN = "doc_id {0}, twin long, h long, whole binary, first long, last long"
 _FOUND = "doc_id {0}, twin long, start long, stop long, key binary, shard long"
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, twin, start, stop): byte ranges of texts that windows found elsewhere cover; twin is a hash of the text.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: bool = False) -> DataFrame:
+    """(doc_id, twin, start, stop): ranges of bytes (or words) of texts that windows found elsewhere cover; twin is a hash of the text.
 
     `docs` has doc_id and text. Ranges of one text may overlap. Rows with the same id and
     text share their ranges, and are copies of each other.
@@ -192,12 +197,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     texts = docs.where("doc_id is not null and text is not null").withColumn("twin", F.xxhash64("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in text_slices(batches, "text"):
             cols: list[list] = [[], [], [], [], []]
             for k, text in enumerate(batch.column("text").to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
+                data = symbols(text, words)
                 for h, a, b in anchored_runs(data, length, gram):
-                    for col, v in zip(cols, (k, h, digest(data[a : b + length]), a, b), strict=True):
+                    for col, v in zip(cols, (k, h, digest(data[a : b + length].data), a, b), strict=True):
                         col.append(v)
             at = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("twin").take(at), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "twin", "h", "whole", "first", "last"])
@@ -215,12 +220,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     listed = wanted.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("h", "first", "last", "copies", "shards")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
+        for batch in text_slices(batches, "text", 64):
             cols: list[list] = [[], [], [], [], [], []]
             for k, (text, wants) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
-                data = text.encode("utf-8", "surrogatepass")
+                data = symbols(text, words)
                 for w in wants:
-                    for col, v in zip(cols, (k, w["h"], w["first"], data[w["first"] : w["last"] + length], w["copies"], w["shards"]), strict=True):
+                    for col, v in zip(cols, (k, w["h"], w["first"], data[w["first"] : w["last"] + length].tobytes(), w["copies"], w["shards"]), strict=True):
                         col.append(v)
             at = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("twin").take(at), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], names=["doc_id", "twin", "h", "first", "content", "copies", "shards"])
@@ -232,15 +237,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for batch in slices(batches, 1024):
+        for batch in text_slices(batches, "content", 1024):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and size > SHARD_BYTES and row[7] != rows[-1][7]:
-                    yield _shard_result(rows, length, kinds)
+                    yield _shard_result(rows, length, kinds, words)
                     rows, size = [], 0
                 rows.append(row)
                 size += len(row[4])
         if rows:
-            yield _shard_result(rows, length, kinds)
+            yield _shard_result(rows, length, kinds, words)
 
     kinds = _arrow_kind(docs)
     found = materialize(sharded.select("doc_id", "twin", "h", "first", "content", "copies", "shards", "shard").mapInArrow(sort_shards, _FOUND.format(kind)), "found")
@@ -255,22 +260,23 @@ def _arrow_kind(docs: DataFrame) -> pa.DataType:
     return to_arrow_type(docs.schema["doc_id"].dataType)
 
 
-def _shard_result(rows: list[tuple], length: int, kind: pa.DataType) -> pa.RecordBatch:
+def _shard_result(rows: list[tuple], length: int, kind: pa.DataType, words: bool) -> pa.RecordBatch:
     """Spans of a shard's repeated windows; for runs of anchors that have several shards, digests of its windows."""
-    context, start, group = repeated_windows([r[4] for r in rows], length)
+    contents = [np.frombuffer(r[4], np.uint64 if words else np.uint8) for r in rows]
+    context, start, group = repeated_windows(contents, length)
     size = np.bincount(group) if len(group) else group
     repeats = size[group] > 1 if len(group) else np.zeros(0, bool)
     leads = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else repeats
     out: list[tuple] = []
     by = np.argsort(context, kind="stable")
     bounds = np.searchsorted(context[by], np.arange(len(rows) + 1))
-    for k, (doc, twin, _, first, content, copies, shards, shard) in enumerate(rows):
+    for k, (doc, twin, _, first, _, copies, shards, shard) in enumerate(rows):
         own = by[bounds[k] : bounds[k + 1]]
         if copies == 1:
             out += [(doc, twin, a + first, b + first, None, shard) for a, b in _intervals(start[own[repeats[own]]], length)]
         if shards > 1:  # windows that repeat here are settled: one of each goes on, to be found by other shards
             sent = own[~repeats[own] | leads[own]]
-            out += [(doc if copies == 1 and not r else None, twin, s + first, s + first + length, digest(content[s : s + length]), shard) for s, r in zip(start[sent].tolist(), repeats[sent].tolist(), strict=True)]
+            out += [(doc if copies == 1 and not r else None, twin, s + first, s + first + length, digest(contents[k][s : s + length].data), shard) for s, r in zip(start[sent].tolist(), repeats[sent].tolist(), strict=True)]
     cols = list(zip(*out, strict=True)) or [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.int64())], names=["doc_id", "twin", "start", "stop", "key", "shard"])
 
@@ -295,43 +301,51 @@ def _merge(windows: DataFrame, length: int, schema: str) -> DataFrame:
     return sorted_.mapInArrow(search, schema).select("doc_id", "twin", "start", "stop")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+def _lists(spans: DataFrame, name: str) -> DataFrame:
+    """All ranges of a text in one row."""
+    return spans.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias(name))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and n_repeated_words, its words in passages of
+    `passage` words or more that are found elsewhere too, word for word, of however few bytes.
 
     Texts are their UTF-8 bytes; a null text is empty. Matches lie within texts and are
     judged on the input. Texts under `length` bytes keep everything. Rows without an id keep
     everything; repeated rows are copies of each other.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(rows, length, gram).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    held = rows.withColumn("twin", F.xxhash64("text")).join(spans, ["doc_id", "twin"], "left").select("doc_id", "text", "spans")
+    spans = _lists(repeated_spans(rows, length, gram), "spans").join(_lists(repeated_spans(rows, passage, passage_gram, words=True), "passages"), ["doc_id", "twin"], "full")
+    held = rows.withColumn("twin", F.xxhash64("text")).join(spans, ["doc_id", "twin"], "left").select("doc_id", "text", "spans", "passages")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            n, gone, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for batch in text_slices(batches, "text", 64):
+            n, gone, runs, kept, words = [], [], [], [], []
+            for text, spans, passages in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "passages")), strict=True):
                 data = text.encode("utf-8", "surrogatepass") if text else b""
-                parts, at, count, removed = [], 0, 0, 0
-                stop = -1
-                for a, b in sorted((s["start"], s["stop"]) for s in spans or []):
-                    if a > stop:
-                        parts.append(data[at:a])
-                        count += 1
-                        at = a
-                    if b > stop:
-                        removed += b - max(at, a, stop if stop > a else a)
-                        stop = b
-                        at = b
-                parts.append(data[at:])
+                ranges = _merged(spans)
                 n.append(len(data))
-                gone.append(removed)
-                runs.append(count)
-                kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return held.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+                gone.append(sum(b - a for a, b in ranges))
+                runs.append(len(ranges))
+                kept.append(b"".join(data[a:b] for a, b in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(data)], strict=True)))
+                words.append(sum(b - a for a, b in _merged(passages)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(words, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_repeated_words"])
+
+    return held.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_repeated_words long")
+
+
+def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((s["start"], s["stop"]) for s in spans or []):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Whole documents without strings of 400 bytes that start elsewhere too; nulls, empty and repeated rows as remove_repeats says, an empty table has no rows."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words")

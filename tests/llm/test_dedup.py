@@ -58,6 +58,16 @@ def test_substrings(spark, monkeypatch, split):
     assert S.remove_repeats(docs.limit(0), 16, 6).count() == 0
 
 
+def test_passages(spark):
+    rng = random.Random(11)
+    shared = [" ".join(rng.choices("ab Cd ef gh i jk".split(), k=rng.randint(5, 12))) for _ in range(3)]
+    texts = [" \n".join(rng.choice([shared[rng.randrange(3)], f"own{rng.randint(0, 99)} x{i}", "Ab cd"]) for _ in range(rng.randint(0, 5))) for i in range(80)] + ["a a a a a a a", None, "", shared[0].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_repeated_words"] for r in S.remove_repeats(docs, 400, 64, passage=5, passage_gram=2).collect()}
+    words = [tuple((t or "").lower().split()) for t in texts]
+    assert got == {i: len(gone) for i, gone in enumerate(covered(words, 5))} and sum(got.values()) > 100
+
+
 def near(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
