@@ -5,28 +5,34 @@ into files of the target size; a merge reads its inputs and writes its output wi
 shuffle, and many merges go into one Spark job. Readers see exactly the shards of one
 manifest version; a version is a file that comes into being by a rename that fails if the
 version exists, so of two writers one wins and the other must start again.
+
+A version lists parts, files with up to PART_SHARDS shards each; a commit writes parts for
+what it changes, and names those of its parent for the rest.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources import commits
+from ..sources.commits import ConflictError as ConflictError
 from .common import file_system, new_path, table
 
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
 ARRIVAL_ROWS = 2000
 MERGES_A_JOB = 24
-
-
-class ConflictError(RuntimeError):
-    """Another writer has committed the version that this one was about to commit."""
+PART_SHARDS = 5000
+#: What no version names is deleted only after this time: another writer may be about to commit it.
+RETENTION_SECONDS = 24 * 3600
 
 
 def plan_merges(sizes: dict[str, int], target: int, fan_in: int) -> list[list[str]]:
@@ -59,46 +65,31 @@ class ShardStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def versions(self) -> list[int]:
-        fs, p = file_system(self.spark, f"{self.path}/manifest")
-        if not fs.exists(p):
-            return []
-        return sorted(int(n[1:-5]) for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("v") and n.endswith(".json"))
+        return commits.versions(self.spark, f"{self.path}/manifest")
 
     def manifest(self, version: int | None = None) -> dict:
-        """The manifest of a version, by default the latest: version, schema, and shards with bytes and rows."""
+        """The manifest of a version, by default the latest: version, schema, shards with bytes and rows, and the parts that list them."""
         have = self.versions()
         if not have:
-            return {"version": 0, "schema": None, "shards": {}}
-        version = have[-1] if version is None else version
-        fs, p = file_system(self.spark, f"{self.path}/manifest/v{version:012d}.json")
-        stream = fs.open(p)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(text)
+            return {"version": 0, "schema": None, "shards": {}, "parts": {}}
+        found = commits.read_json(self.spark, commits.path_of(f"{self.path}/manifest", have[-1] if version is None else version))
+        parts = {name: commits.read_json(self.spark, f"{self.path}/{name}") for name in found["parts"]}
+        return found | {"parts": {name: sorted(shards) for name, shards in parts.items()}, "shards": {k: v for shards in parts.values() for k, v in shards.items()}}
 
     def commit(self, base: dict, shards: dict, schema: str) -> dict:
         """Make `shards` the next version after `base`; ConflictError if another writer was first."""
-        new = {"version": base["version"] + 1, "parent": base["version"], "schema": schema, "shards": shards}
-        jvm, name = self.spark._jvm, f"{self.path}/manifest/v{base['version'] + 1:012d}.json"
-        fs, tmp = file_system(self.spark, f"{self.path}/manifest/.{uuid.uuid4().hex}")
-        fs.mkdirs(tmp.getParent())
-        stream = fs.create(tmp, False)
-        stream.write(bytearray(json.dumps(new).encode()))
-        stream.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri() if "://" in self.path or self.path.startswith("file:") else fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.NONE
-        try:
-            context.rename(fs.makeQualified(tmp), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(name)), options)
-        except Exception as e:
-            fs.delete(tmp, False)
-            if "already exists" in str(e) or "FileAlreadyExists" in str(e):
-                raise ConflictError(f"version {new['version']} exists") from e
-            raise
-        return new
+        kept = {name: own for name, own in base["parts"].items() if all(n in shards for n in own) and (len(own) >= PART_SHARDS // 2 or len(base["parts"]) < 16)}
+        listed = {n for own in kept.values() for n in own}
+        rest = sorted(n for n in shards if n not in listed)
+        parts = dict(kept)
+        for at in range(0, len(rest), PART_SHARDS):
+            own = rest[at : at + PART_SHARDS]
+            name = f"manifest/part-{uuid.uuid4().hex}.json"
+            commits.write_json(self.spark, f"{self.path}/{name}", {n: shards[n] for n in own})
+            parts[name] = own
+        new = {"version": base["version"] + 1, "parent": base["version"], "schema": schema, "parts": list(parts)}
+        commits.commit(self.spark, f"{self.path}/manifest", new["version"], new)
+        return new | {"parts": parts, "shards": shards}
 
     def _write(self, df: DataFrame, rows_a_file: int = 0) -> dict:
         """Write new shards that no version names yet."""
@@ -113,19 +104,26 @@ class ShardStore:
         return {f"{where[len(self.path) + 1 :]}/{k}": {"bytes": v, "rows": rows.get(k, 0)} for k, v in sizes.items()}
 
     def append(self, df: DataFrame, rows_a_file: int = ARRIVAL_ROWS) -> dict:
-        """Append rows as small shards; an empty table commits a version without new rows."""
-        shards, base = self._write(df, rows_a_file), self.manifest()
-        shards = {k: v for k, v in shards.items() if v["rows"]}
-        return self.commit(base, base["shards"] | shards, base["schema"] or df.schema.json())
+        """Append rows as small shards; an empty table commits a version without new rows.
+
+        Columns are matched by name. New ones widen the schema, and are null in earlier rows;
+        missing ones are null in the new rows. A column of another type is a ValueError, and
+        nothing is written.
+        """
+        base = self.manifest()
+        schema = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in df.schema.fields])
+        if base["schema"]:
+            schema = widened(T.StructType.fromJson(json.loads(base["schema"])), schema)
+            df = df.select(*[F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+        shards = {k: v for k, v in self._write(df, rows_a_file).items() if v["rows"]}
+        return self.commit(base, base["shards"] | shards, schema.json())
 
     def read(self, version: int | None = None, names: list[str] | None = None) -> DataFrame:
         """Rows of a version, by default the latest; `names`: of these shards alone."""
-        from pyspark.sql.types import StructType
-
         manifest = self.manifest(version)
         if manifest["schema"] is None:
             raise ValueError("nothing was appended yet")
-        schema = StructType.fromJson(json.loads(manifest["schema"]))
+        schema = T.StructType.fromJson(json.loads(manifest["schema"]))
         names = sorted(manifest["shards"]) if names is None else names
         if not names:
             return self.spark.createDataFrame([], schema)
@@ -148,30 +146,60 @@ class ShardStore:
                 shards = {k: v for k, v in shards.items() if k not in gone} | merged
             self.commit(base, shards, base["schema"])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete the shards that none of the last `keep` versions names; returns how many folders or files went."""
-        live = {n for v in self.versions()[-keep:] for n in self.manifest(v)["shards"]}
-        fs, p = file_system(self.spark, f"{self.path}/data")
+    def vacuum(self, keep: int = 1, retention_seconds: float = RETENTION_SECONDS) -> int:
+        """Delete the versions but the last `keep`, and what none of these names, if it is older than the retention; returns how many files went.
+
+        Versions go before their shards, so that a version that is there can be read. Shards
+        and parts that another writer has written but not committed yet are young, and stay.
+        """
+        before = (time.time() - retention_seconds) * 1000
+        kept = [self.manifest(v) for v in self.versions()[-keep:]]
+        live = {n for m in kept for n in m["shards"]} | {n for m in kept for n in m["parts"]}
+        fs, _ = file_system(self.spark, self.path)
         gone = 0
-        for folder in fs.listStatus(p) if fs.exists(p) else []:
-            names = [f"data/{folder.getPath().getName()}/{s.getPath().getName()}" for s in fs.listStatus(folder.getPath())]
-            dead = [n for n in names if n.endswith(".parquet") and n not in live]
-            if len(dead) == sum(n.endswith(".parquet") for n in names):
+
+        def files(folder: str) -> list:
+            _, p = file_system(self.spark, f"{self.path}/{folder}")
+            return list(fs.listStatus(p)) if fs.exists(p) else []
+
+        old = {s.getPath().getName() for s in files("manifest") if s.getModificationTime() <= before}
+        for v in self.versions()[:-keep]:
+            name = commits.path_of("", v)[1:]
+            if name in old:
+                gone += fs.delete(file_system(self.spark, f"{self.path}/manifest/{name}")[1], False)
+        # What the versions that are left name is live too: some may be younger than the retention.
+        for v in self.versions()[:-keep]:
+            m = self.manifest(v)
+            live |= set(m["shards"]) | set(m["parts"])
+        for name in old:
+            if name.startswith("part-") and f"manifest/{name}" not in live:
+                gone += fs.delete(file_system(self.spark, f"{self.path}/manifest/{name}")[1], False)
+        for folder in files("data"):
+            inside = list(fs.listStatus(folder.getPath()))
+            shards = [s for s in inside if s.getPath().getName().endswith(".parquet")]
+            dead = [s for s in shards if f"data/{folder.getPath().getName()}/{s.getPath().getName()}" not in live and s.getModificationTime() <= before]
+            for s in dead:
+                gone += fs.delete(s.getPath(), False)
+            if len(dead) == len(shards) and all(s.getModificationTime() <= before for s in inside) and (dead or folder.getModificationTime() <= before):
                 fs.delete(folder.getPath(), True)
-                gone += 1
-            else:
-                for n in dead:
-                    fs.delete(file_system(self.spark, f"{self.path}/{n}")[1], False)
-                    gone += 1
         return gone
 
 
+def widened(schema: T.StructType, new: T.StructType) -> T.StructType:
+    """A schema with the columns of another that it lacks; ValueError if they differ about a type."""
+    own = {f.name: f.dataType for f in schema.fields}
+    for f in new.fields:
+        if f.name in own and own[f.name] != f.dataType:
+            raise ValueError(f"{f.name} is of {own[f.name].simpleString()}, not {f.dataType.simpleString()}")
+    return T.StructType([*schema.fields, *(f for f in new.fields if f.name not in own)])
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents appended, compacted and read back from the committed version: their columns, with the text's digest."""
     store = ShardStore(spark, new_path(spark, "shards"))
     store.append(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     store.compact()
-    store.vacuum()
+    store.vacuum(retention_seconds=0)  # this query is the only writer
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.char_length("text").cast("long").alias("text_chars"))
 
 

@@ -173,10 +173,50 @@ def test_shard_store(spark, tmp_path):
         assert sorted(map(tuple, store.read(v).collect()), key=repr) == want
     with pytest.raises(ConflictError):
         store.commit(before, before["shards"], before["schema"])
-    assert store.vacuum() > 0 and sorted(map(tuple, store.read().collect()), key=repr) == want
+    assert store.vacuum() == 0 and store.read(3).count() == 100  # young files stay, for readers and for other writers
+    assert store.vacuum(retention_seconds=0) > 0 and sorted(map(tuple, store.read().collect()), key=repr) == want
     assert json.loads(store.manifest()["schema"])["type"] == "struct"
 
 
+def test_shards_of_other_schemas(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "store"))
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([("fr", 2), ("de", 3)], "lang string, doc_id long"))
+    with pytest.raises(ValueError, match="doc_id"):
+        store.append(spark.createDataFrame([("x",)], "doc_id string"))
+    store.append(spark.createDataFrame([(4, "long " * 500_000, None)], "doc_id long, text string, lang string"))
+    store.compact(fan_in=2)
+    got = sorted((r["doc_id"], r["text"] and r["text"][:4], r["lang"]) for r in store.read().collect())
+    assert got == [(1, "a", None), (2, None, "fr"), (3, None, "de"), (4, "long", None)]
+    assert store.read().columns == ["doc_id", "text", "lang"]
+
+
+def test_vacuum_beside_an_append(spark, tmp_path):
+    store, other = ShardStore(spark, str(tmp_path / "store")), ShardStore(spark, str(tmp_path / "store"))
+    df = spark.range(30).selectExpr("id as doc_id")
+    store.append(df)
+    base, written = other.manifest(), other._write(df, 10)  # another writer, before its commit
+    store.compact(fan_in=2)
+    store.vacuum(retention_seconds=3600)
+    with pytest.raises(ConflictError):  # its version was taken: it begins again from the latest
+        other.commit(base | {"version": 0}, written, base["schema"])
+    latest = other.manifest()
+    other.commit(latest, latest["shards"] | written, latest["schema"])
+    assert store.read().count() == 60
+
+
+def test_manifest_parts(spark, tmp_path, monkeypatch):
+    import bramble.llm.sharding as sharding
+
+    monkeypatch.setattr(sharding, "PART_SHARDS", 4)
+    store = ShardStore(spark, str(tmp_path / "store"))
+    df = spark.range(40).selectExpr("id as doc_id").coalesce(1)
+    first = store.append(df, 4)
+    second = store.append(df, 40)
+    assert len(first["parts"]) == 3 and set(first["parts"]) < set(second["parts"])  # a commit writes what is new
+    assert store.read().count() == 80 and store.manifest()["shards"] == second["shards"]
+
+
 @have_data
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
