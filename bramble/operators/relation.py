@@ -89,7 +89,10 @@ class Relation:
         return Expr(self.types[name], self.df[name])
 
     def _expr(self, x: Any) -> Expr:
-        return expr(x(self) if callable(x) and not isinstance(x, Expr) else x)
+        made = x(self) if callable(x) and not isinstance(x, Expr) else x
+        if isinstance(made, Relation):
+            raise fail(Code.UNSUPPORTED_FEATURE, "a subquery is unsupported here")
+        return expr(made)
 
     def _key(self, name: str, order: bool, what: str) -> Expr:
         e = self[name]
@@ -190,15 +193,18 @@ class Relation:
             self.gates.check("exchange_broadcast")
             if kind == "full_outer":
                 raise fail(Code.UNSUPPORTED_FEATURE, "a full outer join can't broadcast a side")
-            right = broadcast_if_small(right)
+            if {"broadcast_exchange", *(["broadcast_join_scan"] if lower else [])} <= self.gates.runtime:
+                right = broadcast_if_small(right)
         elif strategy in ("merge", "hash"):
             right = right.hint({"merge": "merge", "hash": "shuffle_hash"}[strategy])
         elif strategy is not None:
             raise fail(Code.UNSUPPORTED_FEATURE, f"there is no join strategy {strategy}")
         both = _Pair(self, other)
+        if any(isinstance(x, Relation) for term in (*on, *lower) for x in term):
+            raise fail(Code.UNSUPPORTED_FEATURE, "a subquery is unsupported as a join's key")
         terms = [compare("=", both[a], both[b]) for a, b in on] + [compare(op, both[a], both[b]) for a, op, b in lower]
         if condition is not None:
-            e = expr(condition(both))
+            e = self._expr(condition(both))
             if e.type.category not in (Category.BOOLEAN, Category.UNKNOWN):
                 raise fail(Code.INCONSISTENT_TYPE, f"a join condition must be boolean, not {e.type}")
             terms.append(Expr(T.BOOLEAN, e.column.cast("boolean")))
@@ -252,12 +258,23 @@ class Relation:
     # --- 2.5: aggregation ---
 
     def aggregate(self, keys: Sequence[str] = (), **columns: Aggregation) -> Relation:
-        """One row for each group; without keys exactly one. Distinct aggregates are named `name$distinct`."""
+        """One row for each group; without keys exactly one. Distinct aggregates are named `name$distinct`.
+
+        A column may also be a function of the relation: an expression over calls of `call`,
+        which are aggregates there and nowhere else, and keys.
+        """
         keys = list(dict.fromkeys(keys))
         for k in keys:
             self._key(k, False, "GROUP BY")
-        made = {n: registry.aggregate_call(self.catalog, a.name, *[self._expr(x) for x in a.arguments]) for n, a in columns.items()}
-        if all(f.incremental for _, f in made.values()):
+        made: dict[str, tuple[Expr, list]] = {}
+        for n, a in columns.items():
+            if isinstance(a, Aggregation):
+                e, found = registry.aggregate_call(self.catalog, a.name, *[self._expr(x) for x in a.arguments])
+                made[n] = e, [found]
+            else:
+                group = _Group(self, keys)
+                made[n] = self._expr(a(group)), group.called
+        if all(f.incremental for _, called in made.values() for f in called):
             self.gates.check("exchange_aggregate")
         out = registry.grouped(self.df, keys, [e.column.alias(n) for n, (e, _) in made.items()]) if made else self.df.select(*keys).distinct()
         return self._of(out, {k: self.types[k] for k in keys} | {n: e.type for n, (e, _) in made.items()})
@@ -365,6 +382,23 @@ def _nth_of_key(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return here.join(counts, on).withColumn(name, F.col("__base") + F.col("__here")).select(*df.columns, name)
 
 
+class _Group:
+    """A relation's groups, for expressions over aggregates: keys by name, aggregates by `call`."""
+
+    def __init__(self, relation: Relation, keys: Sequence[str]):
+        self.relation, self.keys, self.called = relation, keys, []
+
+    def __getitem__(self, name: str) -> Expr:
+        if name not in self.keys:
+            raise fail(Code.INCONSISTENT_ELEMENTS, f"{name} is no key of the group")
+        return self.relation[name]
+
+    def call(self, name: str, *arguments: Any) -> Expr:
+        e, found = registry.aggregate_call(self.relation.catalog, name, *[self.relation._expr(x) for x in arguments])
+        self.called.append(found)
+        return e
+
+
 class _Pair:
     """The columns of both sides of a join, for its condition."""
 

@@ -23,8 +23,17 @@ def _single(query: Relation, column: str | None) -> str:
     return column or query.columns[0]
 
 
-def with_scalar(relation: Relation, name: str, query: Relation, column: str | None = None) -> Relation:
-    """Add a column with a subquery's only value: NULL if it has no row, an error if it has several."""
+def with_scalar(relation: Relation, name: str, query: Relation, column: str | None = None, keys: list[tuple[str, str]] | None = None) -> Relation:
+    """Add a column with a subquery's only value: NULL if it has no row, an error if it has several.
+
+    keys: pairs of equal columns (outer, inner) that correlate it; the value is then that of the row's own keys.
+    """
+    if keys:
+        if column is None:
+            column = _single(query.select(*[c for c in query.columns if c not in {b for _, b in keys}]), None)
+        inner = query.escape(**{f"__k{i}": b for i, (_, b) in enumerate(keys)}, **{name: column})
+        joined = relation.join(inner, "left_outer_at_most_one", [(a, f"__k{i}") for i, (a, _) in enumerate(keys)])
+        return joined.select(*relation.columns, name)
     own = _single(query, column)
     value = query.df.select(query.df[own].alias("__v"))
     one = value.limit(2).agg(F.count("*").alias("__n"), F.first("__v").alias("__v"))
@@ -73,24 +82,34 @@ def with_exists(relation: Relation, name: str, query: Relation, keys: list[tuple
     return relation._of(out.select(*relation.columns, F.col("__x").isNotNull().alias(name)), relation.types | {name: T.BOOLEAN})
 
 
-def quantified(relation: Relation, op: str, quantifier: str, left: Any, query: Relation, column: str | None = None, negated: bool = False, strict: bool = True) -> Relation:
+def quantified(relation: Relation, op: str, quantifier: str, left: Any, query: Relation, column: str | None = None, negated: bool = False, strict: bool = True, keys: list[tuple[str, str]] | None = None) -> Relation:
     """WHERE [NOT] left op ANY|ALL (query), as a condition of its own.
 
     op ANY is a semi join on the comparison; NOT (op ALL) is one on its negation. For an
     order only the least or greatest value matters, so one row is compared, not a range join.
+    keys: pairs of equal columns (outer, inner) that correlate the query, for ANY and NOT ALL.
     """
+    if keys and column is None:
+        column = _single(query.select(*[c for c in query.columns if c not in {b for _, b in keys}]), None)
     own = _single(query, column)
     x = relation._expr(left)
     t = comparison_type(op, x.type, query.types[own])
     any_ = quantifier.upper() == "ANY"
     if any_ == negated:
-        if strict:
+        if strict or keys:
             raise fail(Code.UNSUPPORTED_FEATURE, f"{'NOT ' * negated}{quantifier.upper()} is unsupported here")
         return _universal(relation, op if not negated else NEGATED[op], x, query, own, t)
     relation.gates.check("relation_semi_join")
     op = NEGATED[op] if negated else op
     spark = _wide(t, x.type, query.types[own])
-    values = query.df.select(query.df[own].cast(spark).alias("__v"))
+    values = query.df.select(query.df[own].cast(spark).alias("__v"), *[query.df[b].alias(f"__k{i}") for i, (_, b) in enumerate(keys or [])])
+    if keys:
+        for a, b in keys:
+            comparison_type("=", relation[a].type, query.types[b])
+        on = _COMPARE[op](x.column.cast(spark), F.col("__v"))
+        for i, (a, _) in enumerate(keys):
+            on = on & (relation.df[a] == F.col(f"__k{i}"))
+        return relation._of(relation.df.join(values, on, "left_semi"), relation.types)
     if op in ("<", "<=", ">", ">="):
         end = values.agg((F.max if op[0] == "<" else F.min)("__v").alias("__v"))
         return relation._of(relation.df.join(F.broadcast(end), _COMPARE[op](x.column, F.col("__v")), "left_semi"), relation.types)  # one row
@@ -114,6 +133,6 @@ def _universal(relation: Relation, op: str, x: Expr, query: Relation, own: str,
     return relation._of(kept.select(*relation.columns), relation.types)
 
 
-def in_(relation: Relation, left: Any, query: Relation, column: str | None = None, negated: bool = False, strict: bool = True) -> Relation:
-    """WHERE left [NOT] IN (query)."""
-    return quantified(relation, "=", "ANY", left, query, column, negated, strict)
+def in_(relation: Relation, left: Any, query: Relation, column: str | None = None, negated: bool = False, strict: bool = True, keys: list[tuple[str, str]] | None = None) -> Relation:
+    """WHERE left [NOT] IN (query), which pairs of equal columns (outer, inner) may correlate."""
+    return quantified(relation, "=", "ANY", left, query, column, negated, strict, keys)

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import types as T
-from .catalog import Aggregate, Column, Default, Function, Sequence, Table, Variable
+from .catalog import Aggregate, Column, Default, Function, Index, Sequence, Table, Variable
 from .functions import scalar as X
 from .functions.registry import add_aggregate, add_function, call, table_function
+from .operators import exchange
 from .operators import subquery as Q
+from .operators.index_joins import join_find, join_scan
 from .operators.relation import Bound, Relation, agg
 from .plans import dml
 from .plans.planner import Term, filter_with_range_hint
@@ -611,3 +613,89 @@ def opt_or_range_hint(t):
 @query("SELECT c_custkey FROM customer WHERE c_name LIKE 'Cust%0_1'")
 def opt_like_general_prefix(t):
     return t.customer.filter(lambda r: X.like(r["c_name"], "Cust%0_1")).select("c_custkey")
+
+
+# 2.1, 2.6, 2.10: bounds, limits, exchanges
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey = 1 AND l_linenumber < 4")
+def scan_prefixed_exclusive(t):
+    return scan(t.lineitem, ["l_orderkey", "l_linenumber"], Bound("inclusive", (("l_orderkey", 1),)), Bound("prefixed_exclusive", (("l_orderkey", 1), ("l_linenumber", 4))))
+
+
+@query("SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 7)")
+def limit_plain(t):
+    return t.orders.limit(7).aggregate(n=agg("count"))
+
+
+@query("SELECT count(DISTINCT n_nationkey) AS n, count(*) AS ids FROM nation")
+def identify_counted(t):
+    return t.nation.identify("row_id").aggregate(n=agg("count$distinct", lambda r: r["n_nationkey"]), ids=agg("count$distinct", lambda r: X.Expr(T.INT8, r["row_id"].column)))
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def exchange_offer(t):
+    return exchange.offer(t.nation.escape(key="n_nationkey", name="n_name"), t.region.escape(key="r_regionkey", name="r_name"))
+
+
+@query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS nth FROM customer) WHERE nth <= 2")
+def exchange_group(t):
+    return exchange.group(t.customer, ["c_nationkey"], [("c_acctbal", "desc"), "c_custkey"], 2).select("c_nationkey", "c_custkey")
+
+
+@query("SELECT n_regionkey, n_nationkey, n_name FROM nation")
+def take_group_flatten(t):
+    return exchange.flatten(exchange.take_group(exchange.forward(t.nation), ["n_regionkey"], ["n_nationkey", "n_name"], ["n_nationkey"]))
+
+
+@query("SELECT r_regionkey AS n_regionkey, count(n_nationkey) AS nations, min(n_nationkey) AS lowest FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey > 4) ON n_regionkey = r_regionkey GROUP BY 1")
+def take_cogroup(t):
+    some = t.nation.filter(lambda r: r["n_nationkey"] > 4)
+    both = exchange.take_cogroup([(some, ["n_regionkey"], False), (t.region, ["r_regionkey"], True)], ["nations", "regions"], ["n_nationkey"])
+    return Relation(both.df.select("n_regionkey", F.size("nations").cast("long").alias("nations"), F.get("nations", F.lit(0))["n_nationkey"].alias("lowest")))
+
+
+# 2.2, 2.4, 2.5, 2.8: statements, indices, expressions over aggregates, correlated subqueries
+
+
+@query("SELECT * FROM (VALUES (1, 'one'), (2, 'deux'), (3, 'three')) v(k, v)")
+def write_statement(t):
+    t.session.create_table(Table("written", [Column("k", T.INT4, False), Column("v", T.character())]), ["k"])
+    t.session.write_values("written", "insert", ["k", "v"], [[1, "one"], [2, "two"]])
+    t.session.write_values("written", "insert_overwrite", ["k", "v"], [[2, "deux"]])
+    return t.session.write_values("written", "insert_skip", ["k", "v"], [[1, "un"], [3, "three"]])
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 250000")
+def join_find_index(t):
+    index = Index("customer_primary", "customer", (("c_custkey", "asc"),))
+    return join_find(_big_orders(t), _customers(t), index, {"c_custkey": "o_custkey"}).select("o_orderkey", "c_name")
+
+
+@query("SELECT r_regionkey, n_nationkey FROM region JOIN nation ON n_nationkey >= r_regionkey AND n_nationkey < r_regionkey + 3")
+def join_scan_index(t):
+    index = Index("nation_primary", "nation", (("n_nationkey", "asc"),))
+    r = t.region.project(hi=lambda x: x["r_regionkey"] + 3).select("r_regionkey", "hi")
+    return join_scan(r, t.nation.select("n_nationkey"), index, {}, (">=", "r_regionkey"), ("<", "hi")).select("r_regionkey", "n_nationkey")
+
+
+@query("SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) + count(*) * 2 AS v FROM lineitem GROUP BY 1")
+def agg_expression(t):
+    rows = t.lineitem.project(n=lambda r: X.cast(r["l_linenumber"], T.INT8))
+    return rows.aggregate(["l_returnflag"], v=lambda g: g.call("sum", rows["n"]) + g.call("count") * 2)
+
+
+@query("SELECT o_orderkey, (SELECT c_nationkey FROM customer WHERE c_custkey = o_custkey AND c_nationkey > 5) AS nation FROM orders")
+def subquery_correlated_scalar(t):
+    c = t.customer.filter(lambda r: r["c_nationkey"] > 5).select("c_custkey", "c_nationkey")
+    return Q.with_scalar(t.orders.select("o_orderkey", "o_custkey"), "nation", c, "c_nationkey", [("o_custkey", "c_custkey")]).select("o_orderkey", "nation")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey = c_custkey)")
+def subquery_correlated_in(t):
+    return Q.in_(t.customer, lambda r: r["c_nationkey"], t.supplier.select("s_suppkey", "s_nationkey"), "s_nationkey", keys=[("c_custkey", "s_suppkey")]).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND c_acctbal < s_acctbal)")
+def subquery_correlated_any(t):
+    return Q.quantified(t.customer, "<", "ANY", lambda r: r["c_acctbal"], t.supplier.select("s_nationkey", "s_acctbal"), "s_acctbal", keys=[("c_nationkey", "s_nationkey")]).select("c_custkey")

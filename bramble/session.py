@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,17 +86,28 @@ class Session:
             raise fail(Code.UNRESOLVED_VARIABLE, f"there is no variable {name}")
         return literal(found.value, found.type)
 
-    def inspect(self, build: Callable[[], Relation | Expr]) -> Inspection:
-        """Types of what `build` returns, or its diagnostics; nothing is run."""
-        try:
-            made = build()
-        except CompileError as e:
-            return Inspection(diagnostics=e.diagnostics)
-        return Inspection(made.types if isinstance(made, Relation) else {"": made.type})
+    def inspect(self, *builds: Callable[[], Any]) -> Inspection:
+        """Types of what the last of `builds` returns, and what is wrong with any of them; plans aren't run.
+
+        A build makes a relation or an expression, or is a statement's check. A diagnostic that
+        names no region gets the name of the build it comes from.
+        """
+        out = Inspection()
+        for build in builds:
+            try:
+                made = build()
+            except CompileError as e:
+                out.diagnostics += [d if d.region else replace(d, region=getattr(build, "__name__", "").strip("<>")) for d in e.diagnostics]
+                continue
+            out.types = made.types if isinstance(made, Relation) else {"": made.type} if isinstance(made, Expr) else {}
+        if out.diagnostics:
+            out.types = {}
+        return out
 
     # Statements
 
-    def create_table(self, table: Table, primary_key: Sequence[str] = (), unique_keys: Sequence[Sequence[str]] = ()) -> Table:
+    def create_table(self, table: Table, primary_key: Sequence[str] = (), unique_keys: Sequence[Sequence[str]] = (), can: Sequence[str] = ("find", "scan")) -> Table:
+        """A table with its indices. can: what these are for; keys that are scanned must have an order, others equality alone."""
         schema = self.catalog.schemas.find(self.catalog.path[0])
         if schema.storage.find(table.name) is not None:
             raise fail(Code.INCONSISTENT_ELEMENTS, f"table {table.name} exists already")
@@ -107,13 +118,14 @@ class Session:
             check_default(c, self.catalog)
         for keys in [primary_key, *unique_keys]:
             for k in keys:
-                if not table.column(k).type.order_comparable:
+                t = table.column(k).type
+                if not (t.order_comparable if "scan" in can else t.equality_comparable):
                     raise fail(Code.INCONSISTENT_TYPE, f"key {k} of {table.column(k).type} can't be compared")
         schema.storage.add(table.name, table)
         if primary_key:
-            schema.indices.add(f"{table.name}_primary", Index(f"{table.name}_primary", table.name, tuple((k, "asc") for k in primary_key), features=frozenset({"primary", "find", "scan", "unique"})))
+            schema.indices.add(f"{table.name}_primary", Index(f"{table.name}_primary", table.name, tuple((k, "asc") for k in primary_key), features=frozenset({"primary", "unique", *can})))
         for i, keys in enumerate(unique_keys):
-            schema.indices.add(f"{table.name}_unique{i}", Index(f"{table.name}_unique{i}", table.name, tuple((k, "asc") for k in keys), features=frozenset({"unique", "unique_constraint", "find", "scan"})))
+            schema.indices.add(f"{table.name}_unique{i}", Index(f"{table.name}_unique{i}", table.name, tuple((k, "asc") for k in keys), features=frozenset({"unique", "unique_constraint", *can})))
         self._store(table.name, dml.empty_table(self.spark, table.columns))
         return table
 

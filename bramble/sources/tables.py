@@ -25,6 +25,8 @@ def scan(source: Relation, columns: Sequence[str] | None = None, lower: Bound =
     """A full or range scan; Catalyst pushes columns and bounds into the files."""
     for bound in (lower, upper):
         for name, value in bound.keys:
+            if isinstance(value, Relation):
+                raise fail(Code.UNSUPPORTED_FEATURE, "a subquery is unsupported as a key")
             t = source[name].type
             if not t.order_comparable:
                 raise fail(Code.INCONSISTENT_TYPE, f"{name} of {t} can't bound a scan")
@@ -41,6 +43,8 @@ def find(source: Relation, keys: dict[str, Any], columns: Sequence[str] | None =
         raise fail(Code.INCONSISTENT_ELEMENTS, "a lookup needs a key")
     where = None
     for name, value in keys.items():
+        if isinstance(value, Relation):
+            raise fail(Code.UNSUPPORTED_FEATURE, "a subquery is unsupported as a key")
         t = source[name].type
         if not t.equality_comparable:
             raise fail(Code.INCONSISTENT_TYPE, f"{name} of {t} can't be looked up")

@@ -193,7 +193,7 @@ def test_gates(spark):
         "relation_anti_join": lambda x: x.join(other, "anti", [("a", "b")]), "relation_intersection": lambda x: x.intersection(other), "relation_difference": lambda x: x.difference(other),
         "relation_apply": lambda x: x.apply("f", [], []), "exchange_broadcast": exchange.broadcast, "exchange_forward": exchange.forward, "exchange_discard": exchange.discard,
         "exchange_group": lambda x: exchange.group(x, ["a"]), "exchange_aggregate": lambda x: Relation(x.df, None, x.gates, Session(spark).catalog).aggregate(n=agg("count")),
-        "statement_write_update": lambda x: dml.update_where(x, X.literal(True), a=2), "statement_write_delete": lambda x: dml.delete_where(x, lambda y: y["a"] == 1), "relation_flatten": exchange.flatten,
+        "statement_write_update": lambda x: dml.update_where(x, X.literal(True), a=2), "statement_write_delete": lambda x: dml.delete_where(x, lambda y: y["a"] == 1), "relation_flatten": lambda x: exchange.flatten(exchange.take_group(x, ["a"])),
         "relation_values": lambda x: values(spark, ["a"], [[1]], x.gates),
     }
     for feature, use in cases.items():
@@ -313,3 +313,45 @@ def test_all_copies_by_key_pairs(spark):
     both, rest = (sizes(f([("k", "r")], distinct=False)) for f in (lambda *a, **k: left.intersection(right, *a, **k), lambda *a, **k: left.difference(right, *a, **k)))
     assert both == {0: 4, 1: had[1], None: 3}
     assert rest == {0: had[0] - 4, 2: had[2], 3: had[3], None: had[None] - 3}
+
+
+def test_groups_and_cogroups(spark):
+    a = Relation(spark.createDataFrame([(1, 9), (1, 7), (None, 5), (2, 1)], "k int, v int"))
+    b = Relation(spark.createDataFrame([(1, "x"), (None, "y"), (4, "z")], "q long, w string"))
+    groups = exchange.take_group(a, ["k"], sort=["v"])
+    assert {r["k"]: [x["v"] for x in r["group"]] for r in groups.df.collect()} == {1: [7, 9], None: [5], 2: [1]}
+    flat = exchange.flatten(groups)
+    assert flat.types == a.types and sorted(map(repr, flat.df.collect())) == sorted(map(repr, a.df.collect()))
+    for mandatory, keys in (((False, False), {1, None, 2, 4}), ((True, False), {1, None, 2}), ((True, True), {1, None})):
+        both = exchange.take_cogroup([(a, ["k"], mandatory[0]), (b, ["q"], mandatory[1])], ["left", "right"], ["v"])
+        assert both.types["k"] == T.INT8
+        got = {r["k"]: ([x["v"] for x in r["left"]], [x["w"] for x in r["right"]]) for r in both.df.collect()}
+        assert set(got) == keys and got[1] == ([7, 9], ["x"]) and got[None] == ([5], ["y"])
+    assert code(lambda: exchange.take_cogroup([(a, ["k"], False), (b, ["w"], False)], ["l", "r"])) is Code.INCONSISTENT_TYPE
+    assert code(lambda: exchange.flatten(a, "v")) is Code.INCONSISTENT_TYPE and code(lambda: exchange.group(a, [])) is Code.INCONSISTENT_ELEMENTS
+    assert exchange.group(a, [], limit=2, or_whole=True).df.count() == 2 and exchange.take_flat(a, "v").columns == ["v"]
+
+
+def test_index_joins_and_rejections(spark, session):
+    from bramble.operators.index_joins import join_find, join_scan
+
+    a, b = Relation(spark.createDataFrame([(1, 2)], "x int, y int")), Relation(spark.createDataFrame([(1, 2), (1, 3)], "k int, l int"))
+    index = Index("i", "b", (("k", "asc"), ("l", "asc")))
+    assert rows(join_find(a, b, index, {"k": "x", "l": "y"})) == [(1, 2, 1, 2)]
+    assert rows(join_scan(a, b, index, {"k": "x"}, (">", "y"))) == [(1, 2, 1, 3)]
+    assert code(lambda: join_find(a, b, index, {"k": "x"})) is Code.INCONSISTENT_ELEMENTS
+    assert code(lambda: join_scan(a, b, index, {"l": "x"})) is Code.INCONSISTENT_ELEMENTS
+    assert code(lambda: join_scan(a, b, Index("i", "b", (("k", "asc"),), features=frozenset({"find"})), {"k": "x"})) is Code.UNSUPPORTED_FEATURE
+    for gate, f in (("relation_join_find", lambda r: join_find(r, b, index, {"k": "x", "l": "y"})), ("relation_join_scan", lambda r: join_scan(r, b, index, {"k": "x"}))):
+        assert code(lambda: f(Relation(a.df, None, Gates([gate])))) is Code.UNSUPPORTED_FEATURE
+        assert code(lambda: f(Relation(a.df, None, Gates(runtime=[])))) is Code.UNSUPPORTED_FEATURE
+    one = b.select("k").limit(1)
+    for f in (lambda: find(a, {"x": one}), lambda: scan(a, lower=Bound("inclusive", (("x", one),))), lambda: a.join(b, condition=lambda r: one), lambda: a.filter(lambda r: one)):
+        assert code(f) is Code.UNSUPPORTED_FEATURE
+    seen = session.inspect(lambda: a.filter(lambda r: r["no"]), lambda: a, lambda: a.aggregate(["x"], v=lambda g: g["y"]))
+    assert [d.code for d in seen.diagnostics] == [Code.UNRESOLVED_VARIABLE, Code.INCONSISTENT_ELEMENTS] and not seen.types and seen.diagnostics[0].region
+
+
+def test_keys_need_what_their_index_can(session):
+    flags = Table("flags", [Column("f", T.array(T.INT4))])
+    assert code(lambda: session.create_table(flags, ["f"])) is Code.INCONSISTENT_TYPE
