@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest, materialize, mix64, powers, table, text_slices, word_hashes
+from .common import digest, materialize, mix64, powers, probable, table, text_slices, word_hashes
 
 LENGTH, GRAM = 400, 64
 #: Words of a passage, and of the grams that anchor it.
@@ -52,8 +52,8 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchored_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int]]:
-    """(anchor's hash, first, last): runs of window starts that share an anchor; each start lies in one run."""
+def anchored_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors' hashes, first and last starts of runs of windows that share an anchor; each start lies in one run."""
     for lo in range(0, len(data) - length + 1, _SLICE):
         part = data[lo : lo + _SLICE + length - 1]
         power, inverse = powers(1 << max(16, int(len(part)).bit_length()))
@@ -64,7 +64,7 @@ def anchored_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> I
         least = _sliding_min((hashes & ~_POSITION) | np.arange(n, dtype=np.uint64), length - gram + 1) & _POSITION
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         last = np.append(first[1:], len(least)) - 1
-        yield from zip(hashes[least[first]].view(np.int64).tolist(), (first + lo).tolist(), (last + lo).tolist(), strict=True)
+        yield hashes[least[first]].view(np.int64), first + lo, last + lo
 
 
 def _first_ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -198,16 +198,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            cols: list[list] = [[], [], [], [], []]
+            of, found, wholes = [np.zeros(0, np.int64)], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 data = symbols(text, words)
-                for h, a, b in anchored_runs(data, length, gram):
-                    for col, v in zip(cols, (k, h, digest(data[a : b + length].data), a, b), strict=True):
-                        col.append(v)
-            at = pa.array(cols[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("twin").take(at), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "twin", "h", "whole", "first", "last"])
+                view, width = memoryview(data.tobytes()), data.itemsize
+                for h, first, last in anchored_runs(data, length, gram):
+                    of.append(np.full(len(h), k))
+                    found.append((h, first, last))
+                    wholes += [digest(view[a:b]) for a, b in zip((first * width).tolist(), ((last + length) * width).tolist(), strict=True)]
+            at = pa.array(np.concatenate(of))
+            h, first, last = (pa.array(np.concatenate([f[i] for f in found]) if found else [], pa.int64()) for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("twin").take(at), h, pa.array(wholes, pa.binary()), first, last], names=["doc_id", "twin", "h", "whole", "first", "last"])
 
     runs = materialize(texts.select("doc_id", "twin", "text").mapInArrow(find, _RUN.format(kind)), "runs")
+    # Most anchors occur once: their runs go before anything wider than the anchor is shuffled.
+    several = materialize(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
+    runs = probable(runs, several, ["h"])
     place = F.struct("doc_id", "twin", "first", "last")
     contents = materialize(runs.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(place).alias("one")), "contents")
     anchors = contents.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
@@ -217,7 +223,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
 
     # One run of each content of anchors with several contents; those of repeated content only stand for it.
     wanted = shared.where("kinds > 1").select("one.*", "h", F.col("n").alias("copies"), F.ceil(F.col("kinds") / RUNS_A_SHARD).alias("shards"))
-    listed = wanted.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("h", "first", "last", "copies", "shards")).alias("wanted"))
+    listed = materialize(wanted.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("h", "first", "last", "copies", "shards")).alias("wanted")), "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 64):
@@ -230,7 +236,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
             at = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("twin").take(at), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], names=["doc_id", "twin", "h", "first", "content", "copies", "shards"])
 
-    contexts = texts.join(listed, ["doc_id", "twin"]).select("doc_id", "twin", "text", "wanted").mapInArrow(fetch, f"doc_id {kind}, twin long, h long, first long, content binary, copies long, shards long")
+    contexts = probable(texts, listed, ["doc_id", "twin"]).join(listed, ["doc_id", "twin"]).select("doc_id", "twin", "text", "wanted").mapInArrow(fetch, f"doc_id {kind}, twin long, h long, first long, content binary, copies long, shards long")
     shard = F.xxhash64("h", F.pmod(F.xxhash64("content"), "shards"))
     sharded = contexts.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard")
 
