@@ -27,7 +27,8 @@ from .common import crc_mod, materialize, slices, table, worker_state
 FIT_DOCS = 400
 ROUNDS, SMOOTH = 3, 0.01
 UNKNOWN = 1e-7
-LONGEST_WORD = 32
+#: Words of more letters are summed with rescaling: their probabilities are too small for a float.
+LONG_WORD = 32
 #: A text is foreign to its language if its log likelihood per letter is FLOOR_MARGIN below that of all but this share of
 #: the language's training documents. Texts of n letters get SHORT_TEXT / sqrt(n) on top: their means scatter.
 FLOOR_SHARE, FLOOR_MARGIN, SHORT_TEXT = 0.01, 0.5, 3.0
@@ -57,11 +58,11 @@ def letter_runs(text: str | None) -> list[str]:
     return _RUNS.findall(text.lower()) if text else []
 
 
-def split_word(word: str) -> list[str]:
-    """Letters of a run in units that the forward algorithm takes: a start sign, then at most LONGEST_WORD letters."""
-    if not word.isalpha():
-        word = "".join(filter(str.isalpha, word))
-    return [(_START if i == 0 else "") + word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
+def word_unit(run: str) -> str:
+    """The letters of a run as the forward algorithm takes them, behind a start sign; nothing if there are none."""
+    if not run.isalpha():
+        run = "".join(filter(str.isalpha, run))
+    return _START + run if run else ""
 
 
 @lru_cache(maxsize=64)
@@ -71,21 +72,38 @@ def _spans(size: int, longest: int) -> list[tuple[int, int]]:
 
 
 def expected_counts(word: str, probs: dict[str, float], longest: int) -> dict[str, float]:
-    """Expected uses of each piece in a word, over all segmentations by their probability (forward and backward)."""
+    """Expected uses of each piece in a word, over all segmentations by their probability (forward and backward).
+
+    Sums are rescaled as they get small: each place has the logarithm of what its sums were divided by.
+    """
     size = len(word)
-    alpha = [1.0] + [0.0] * size
-    beta = [0.0] * size + [1.0]
-    arcs = [(i, j, probs.get(word[i:j], UNKNOWN if j == i + 1 else 0.0)) for j in range(1, size + 1) for i in range(max(0, j - longest), j)]
-    arcs = [x for x in arcs if x[2]]
-    for i, j, p in arcs:
-        alpha[j] += alpha[i] * p
-    for i, j, p in reversed(arcs):
-        beta[i] += beta[j] * p
-    out: dict[str, float] = {}
-    if alpha[size] > 0:
+    arcs = [(i, j, p) for j in range(1, size + 1) for i in range(max(0, j - longest), j) if (p := probs.get(word[i:j], UNKNOWN if j == i + 1 else 0.0))]
+    alpha, beta = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+    if size <= LONG_WORD:
         for i, j, p in arcs:
-            if (share := alpha[i] * p * beta[j] / alpha[size]) > 1e-6:
-                out[word[i:j]] = out.get(word[i:j], 0.0) + share
+            alpha[j] += alpha[i] * p
+        for i, j, p in reversed(arcs):
+            beta[i] += beta[j] * p
+        shares = ((i, j, alpha[i] * p * beta[j] / alpha[size]) for i, j, p in arcs) if alpha[size] > 0 else ()
+    else:
+        a, b = _scaled_sums(size, arcs), _scaled_sums(size, [(size - j, size - i, p) for i, j, p in arcs])[::-1]
+        shares = ((i, j, math.exp(min(0.0, a[i] + math.log(p) + b[j] - a[size]))) for i, j, p in arcs)
+    out: dict[str, float] = {}
+    for i, j, share in shares:
+        if share > 1e-6:
+            out[word[i:j]] = out.get(word[i:j], 0.0) + share
+    return out
+
+
+def _scaled_sums(size: int, arcs: list[tuple[int, int, float]]) -> list[float]:
+    """Logarithms of the sums over all paths from 0 to each place."""
+    into: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
+    for i, j, p in arcs:
+        into[j].append((i, p))
+    out = [0.0] * (size + 1)
+    for j in range(1, size + 1):
+        top = max(out[i] for i, _ in into[j])
+        out[j] = top + math.log(sum(p * math.exp(out[i] - top) for i, p in into[j]))
     return out
 
 
@@ -114,19 +132,36 @@ class LanguageModel:
             alpha[j] += alpha[i] * self.table[ids[:, k]]
         return alpha[-1]
 
+    def log_likelihoods(self, units: list[str]) -> np.ndarray:
+        """Logarithms of `likelihoods`, for words of any length: sums are rescaled place by place, and those of the last places alone are held."""
+        size = len(units[0])
+        if size <= LONG_WORD:
+            return np.log(np.maximum(self.likelihoods(units), 1e-300))
+        get, none, unknown = self.ids.get, len(self.ids), len(self.ids) + 1
+        shape = (len(units), len(self.languages))
+        held, total = [np.ones(shape)], np.zeros(shape)
+        for j in range(1, size + 1):
+            now = np.zeros(shape)
+            for back, alpha in enumerate(reversed(held), 1):
+                now += alpha * self.table[[get(u[j - back : j], unknown if back == 1 else none) for u in units]]
+            total += np.log(now)
+            held = [alpha / now for alpha in held[1 - self.longest :]] if self.longest > 1 else []
+            held.append(np.ones(shape))
+        return total
+
     def words(self, runs: list[str]) -> np.ndarray:
         """A row for each run of letters: its log likelihood in each language, then its letters (and start sign), or zeros if it has no letter."""
         out = np.zeros((len(runs), len(self.languages) + 1))
         by_size: dict[int, list[tuple[int, str]]] = {}
         for k, run in enumerate(runs):
-            for unit in split_word(run):
+            if unit := word_unit(run):
                 by_size.setdefault(len(unit), []).append((k, unit))
-        for units in by_size.values():
+        for size, units in by_size.items():
             for at in range(0, len(units), 20_000):
                 part = units[at : at + 20_000]
-                rows = np.array([k for k, _ in part])
-                np.add.at(out[:, :-1], rows, np.log(np.maximum(self.likelihoods([u for _, u in part]), 1e-300)))
-                np.add.at(out[:, -1], rows, len(part[0][1]))
+                rows = [k for k, _ in part]
+                out[rows, :-1] = self.log_likelihoods([u for _, u in part])
+                out[rows, -1] = size
         return out
 
 
@@ -238,7 +273,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for run, n in Counter(letter_runs(text)).items():
-                    for unit in split_word(run):
+                    if unit := word_unit(run):
                         found[lang, unit] += n
             if len(found) > 200_000:
                 yield out()

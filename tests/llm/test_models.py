@@ -36,6 +36,19 @@ def test_forward_sums_all_segmentations():
         got = L.LanguageModel(["p", "q"], probs, [0.5, 0.5]).likelihoods([word, word])
         for k in (0, 1):
             assert got[0, k] == got[1, k] == pytest.approx(brute(word, k))
+    model = L.LanguageModel(["p", "q"], probs, [0.5, 0.5])
+    word = "abaxb" * 3
+    assert model.log_likelihoods([word, word[::-1]])[0] == pytest.approx([np.log(brute(word, k)) for k in (0, 1)])
+    for limit in (0, 32):  # rescaled or not, the same
+        L.LONG_WORD, was = limit, L.LONG_WORD
+        try:
+            assert model.log_likelihoods([word, word])[1] == pytest.approx([np.log(brute(word, k)) for k in (0, 1)])
+            found = L.expected_counts(word, {p: v[0] for p, v in probs.items()}, 3)
+            assert sum(len(p) * n for p, n in found.items()) == pytest.approx(len(word), abs=1e-3)
+        finally:
+            L.LONG_WORD = was
+    assert model.log_likelihoods(["ab" * 5000])[0, 1] > model.log_likelihoods(["ab" * 5000])[0, 0] > -1e6
+    assert sum(len(p) * n for p, n in L.expected_counts("ab" * 2000, {p: v[0] for p, v in probs.items()}, 3).items()) == pytest.approx(4000, rel=1e-2)
     counts = L.expected_counts("abab", {p: v[0] for p, v in probs.items()}, 3)
     assert sum(len(p) * n for p, n in counts.items()) == pytest.approx(4, abs=1e-3)
 
