@@ -93,7 +93,7 @@ def chunk_documents(docs: DataFrame, vocabulary: str, end_id: int, dtype: str, i
         enc, width = encoder(vocabulary, dtype), np.dtype(dtype).itemsize
         gear = mix64(np.arange(1, enc.size + 1, dtype=np.uint64))
         row, sent = TaskContext.get().partitionId() << 36, set()
-        for batch in text_slices(batches, "text", 1024):
+        for batch in text_slices(batches, "text", size=1 << 20):
             ids, ends = enc.encode_all(batch.column("text").to_pylist(), end_id)
             joined, cuts = ids.tobytes(), cut_points(ids, ends, gear)
             keys, sizes, new, last = [], [], {}, 0

@@ -165,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, l
             cols = list(zip(*pieces, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:7]), *([pa.array(cols[7], pa.binary())] if with_ids else [])], names=schema.names)
 
-        for batch in text_slices(batches, "text", 1024):
+        for batch in text_slices(batches, "text", size=1 << 20):
             kind = batch.column("doc_id").type
             pieces, start = [], 0
             ids, ends = enc.encode_all(batch.column("text").to_pylist(), end_id)
