@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_name, table
+from .common import free_name, materialize, table
 
 #: Blocks: at most eight words (longer ones count once for each 64 characters) with the white space around them.
 BLOCK = r"[^\S\n]*(?:\S{1,64}[^\S\n]*){1,8}|[^\S\n]+"
@@ -89,8 +90,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     One shuffle: rows are dealt by ranges of ids; the first document of each range is sent
     to the range before it too. Repeated ids are ordered by text; a null id comes last, a null text is empty.
+    Ids that aren't whole numbers are numbered in their order first, which takes a shuffle more.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        base = base.withColumn("key", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))))
+    else:
+        order = [F.col("id").asc_nulls_first(), F.col("text")]
+        base = materialize(base.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "numbered")
     n = base.count()
     k = max(1, min(_MOST_RANGES, n // _ROWS_A_RANGE))
     found = base.agg(F.percentile_approx("key", [(i + 1) / k for i in range(k)], 10 * k), F.max("key")).first()
@@ -121,6 +128,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole documents and their edits; null texts are empty, repeated rows follow each other, an empty table has no rows."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 

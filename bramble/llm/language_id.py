@@ -360,6 +360,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole documents by what the rows that aren't held out say; null texts and those without a letter are `und`, repeated rows one row each, an empty table has none."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(crc_mod("doc_id", 3) != 1), floors=False)
     return identify(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

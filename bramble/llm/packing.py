@@ -181,4 +181,5 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, l
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of whole documents; null and empty texts are the end id alone, texts of any length are cut, repeated rows are packed each, an empty table has no pieces."""
     return pack(table(spark, sf_dir, "documents"), with_ids=False)

@@ -160,6 +160,10 @@ def test_next_over_many_ranges(spark, monkeypatch):
     got = {r["id"]: r["following"] for r in P.with_next(docs, "doc_id", "text").collect()}
     order = sorted(ids, reverse=True)
     assert got == {i: str(j) for i, j in zip(order, order[1:] + order[:1], strict=True)}
+    named = spark.createDataFrame([(f"id {i}", str(i)) for i in ids], "name string, text string").repartition(5)
+    got = {r["id"]: r["following"] for r in P.with_next(named, "name", "text").collect()}
+    order = sorted((f"id {i}" for i in ids), reverse=True)
+    assert got == {i: j.removeprefix("id ") for i, j in zip(order, order[1:] + order[:1], strict=True)}
 
 
 def test_plan_merges():
