@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import decimal as dec
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -439,8 +440,16 @@ def assign(x: Any, t: Type) -> Expr:
 
 
 def let(value: Any, body: Callable[[Expr], Expr]) -> Expr:
-    """A local variable for the body; the value is one expression however often it is used."""
-    return body(expr(value))
+    """A local variable for the body. The value is evaluated once for each row, however often it is used; columns and literals, which cost nothing, stand for themselves and can be pushed down."""
+    v = expr(value)
+    made = body(v)
+    if v.column is None or _SIMPLE.fullmatch(str(v.column)):
+        return made
+    return Expr(made.type, F.element_at(F.transform(F.array(v.column), lambda x: body(Expr(v.type, x)).column), 1))
+
+
+#: How Spark writes columns that are names, or numbers.
+_SIMPLE = re.compile(r"Column<'[\w.`]+'>")
 
 
 def between(x: Any, low: Any, high: Any) -> Expr:

@@ -86,21 +86,24 @@ def checked(df: DataFrame, table: Table) -> DataFrame:
     return df
 
 
-def insert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Old and new rows; with keys a row whose key exists (or comes twice) is an error."""
+def insert(old: DataFrame, new: DataFrame, keys: Sequence[str] = (), unique: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """Old and new rows; with keys a row whose key exists (or comes twice) is an error, and so it is for other unique keys, in which nulls differ from each other.
+
+    Only keys move, and old rows not at all: new keys are counted, and those that are there already found.
+    """
     both = old.unionByName(new)
-    if not keys:
-        return both
-    # Only keys move, and old rows not at all: new keys are counted, and those that are there already found.
-    named = new.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__n"))
-    on = None
-    for k in keys:
-        term = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        on = term if on is None else on & term
-    there = old.select(*keys).join(named, on, "left_semi").select(F.lit(1).alias("__bad"))
-    bad = named.where("__n > 1").select(F.lit(1).alias("__bad")).unionAll(there).agg(F.count("*").alias("__bad"))  # one row
-    ok = F.when(F.col("__bad") > 0, F.raise_error(F.lit(f"duplicate key in {', '.join(keys)}")).cast("boolean")).otherwise(F.lit(True))
-    return both.crossJoin(F.broadcast(bad)).where(ok).select(both.columns)
+    checks = [(names, new) for names in [keys] if names] + [(names, new.dropna(subset=list(names))) for names in unique]
+    for names, rows in checks:
+        named = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in names]).agg(F.count("*").alias("__n"))
+        on = None
+        for k in names:
+            term = F.col(k).eqNullSafe(F.col(f"__{k}"))
+            on = term if on is None else on & term
+        there = old.select(*names).join(named, on, "left_semi").select(F.lit(1).alias("__bad"))
+        bad = named.where("__n > 1").select(F.lit(1).alias("__bad")).unionAll(there).agg(F.count("*").alias("__bad"))  # one row
+        ok = F.when(F.col("__bad") > 0, F.raise_error(F.lit(f"duplicate key in {', '.join(names)}")).cast("boolean")).otherwise(F.lit(True))
+        both = both.crossJoin(F.broadcast(bad)).where(ok).select(old.columns)
+    return both
 
 
 def _one_each(new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -169,7 +172,8 @@ def write(catalog: Catalog, table: Table, old: DataFrame, source: Relation, kind
     if kind != "insert" and not keys:
         raise fail(Code.INCONSISTENT_ELEMENTS, f"{table.name} has no primary index")
     if kind == "insert":
-        return insert(old, insert_rows(catalog, table, source, mapping), keys)
+        unique = [[k for k, _ in i.keys] for i in catalog.owner(table.name).indices_of(table.name) if "unique_constraint" in i.features]
+        return insert(old, insert_rows(catalog, table, source, mapping), keys, unique)
     if kind in ("insert_overwrite", "insert_skip"):
         return (insert_overwrite if kind == "insert_overwrite" else insert_skip)(old, insert_rows(catalog, table, source, mapping), keys)
     if missing := [k for k in keys if k not in mapping]:

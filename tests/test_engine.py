@@ -355,3 +355,19 @@ def test_index_joins_and_rejections(spark, session):
 def test_keys_need_what_their_index_can(session):
     flags = Table("flags", [Column("f", T.array(T.INT4))])
     assert code(lambda: session.create_table(flags, ["f"])) is Code.INCONSISTENT_TYPE
+
+
+def test_unique_keys(spark):
+    session = Session(spark)
+    session.create_table(Table("u", [Column("k", T.INT4, False), Column("a", T.INT4), Column("b", T.INT4)]), ["k"], [["a", "b"]])
+    session.write_values("u", "insert", ["k", "a", "b"], [[1, 1, 1], [2, 1, None], [3, 1, None]])
+    assert len(rows(session.write_values("u", "insert", ["k", "a", "b"], [[4, 1, 2], [5, 1, None]]))) == 5
+    with pytest.raises(Exception, match="duplicate key in a, b"):
+        rows(session.write_values("u", "insert", ["k", "a", "b"], [[6, 1, 2]]))
+
+
+def test_let_evaluates_once(spark):
+    drawn = X.Expr(T.FLOAT8, F.rand())
+    r = Relation(spark.range(200).toDF("i")).project(v=X.let(drawn, lambda v: X.compare("=", v, v)), w=X.let(drawn, lambda v: v - v))
+    assert {(x["v"], x["w"]) for x in r.df.collect()} == {(True, 0.0)}
+    assert "element_at" not in str(X.between(r["i"], 1, 2).column)
