@@ -114,7 +114,7 @@ def probable(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """
     count = -(-8 * keys.count() // _BITMAP)
     if not 0 < count <= _BITMAPS:
-        return rows
+        return rows if count else rows.where(F.lit(False))
     names = [free_name([*rows.columns, *keys.columns], x) for x in ("bitmap", "bitmap_of", "bit")]
     bitmap, number, bit = names
     spot = F.pmod(F.xxhash64(*on), F.lit(count * _BITMAP))

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,10 +258,8 @@ def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], {}, [])
-    share: Column = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(math.ceil(1_000_000 * min(1.0, fit_docs / n)))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
+    shares = docs.sparkSession.createDataFrame([(lang, math.ceil(1_000_000 * min(1.0, fit_docs / n))) for lang, n in sizes.items()], "lang string, share long")
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share"))  # a row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
