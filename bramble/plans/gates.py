@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from ..diagnostics import Code, fail
 
@@ -36,6 +37,18 @@ RUNTIME = ("broadcast_exchange", "aggregate_exchange", "index_join", "index_join
 DEFAULT_RUNTIME = frozenset(RUNTIME[:-1])
 
 
+@dataclass(frozen=True)
+class Options:
+    """How a session plans.
+
+    disjunction_range_hint: filters by a disjunction get the ranges that follow from it.
+    inline_host_variables: variables are literals of the plan, which Catalyst folds; otherwise they are read when it runs.
+    """
+
+    disjunction_range_hint: bool = True
+    inline_host_variables: bool = True
+
+
 class Gates:
     """Restricted features raise unsupported_feature when something uses them."""
 

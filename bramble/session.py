@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from dataclasses import replace as dataclass_replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import types as T
 from .catalog import Catalog, Column, Index, Schema, Table, check_default
@@ -15,7 +17,8 @@ from .functions.registry import standard_aggregates
 from .functions.scalar import Expr, literal
 from .operators.relation import Relation
 from .plans import dml
-from .plans.gates import Gates
+from .plans.gates import Gates, Options
+from .plans.planner import Term, filter_with_range_hint
 
 
 @dataclass
@@ -33,7 +36,8 @@ class Inspection:
 class Session:
     """Tables live as Parquet under `path`, or as frames that were registered; changes are copy-on-write."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, catalog: Catalog | None = None, gates: Gates | None = None, user: str | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, catalog: Catalog | None = None, gates: Gates | None = None, user: str | None = None, options: Options | None = None):
+        self.options = options or Options()
         self.path, self.gates, self.user = path, gates or Gates(), user
         settings = {"spark.sql.timeType.enabled": "true"} | self.gates.spark_conf()
         if any(spark.conf.get(k, None) != v for k, v in settings.items()):  # the caller's session stays as it is
@@ -84,7 +88,22 @@ class Session:
         found = self.catalog.find("variables", name)
         if found is None:
             raise fail(Code.UNRESOLVED_VARIABLE, f"there is no variable {name}")
-        return literal(found.value, found.type)
+        value = literal(found.value, found.type)
+        if self.options.inline_host_variables:
+            return value
+        # A call that Catalyst can't fold, so that one plan serves for all values of a variable's type.
+        return Expr(value.type, F.element_at(F.transform(F.array(F.monotonically_increasing_id()), lambda _: value.column), 1))
+
+    def filter(self, relation: Relation, term: Term) -> Relation:
+        """A filter by a term of comparisons, with or without the ranges that follow from its disjunctions."""
+        return filter_with_range_hint(relation, term) if self.options.disjunction_range_hint else relation.filter(term.expr(relation))
+
+    def type(self, name: str) -> T.Type:
+        """A type by its name in the schemas of the search path."""
+        found = self.catalog.find("types", name)
+        if found is None:
+            raise fail(Code.UNSUPPORTED_TYPE, f"there is no type {name}")
+        return found
 
     def inspect(self, *builds: Callable[[], Any]) -> Inspection:
         """Types of what the last of `builds` returns, and what is wrong with any of them; plans aren't run.
@@ -97,7 +116,7 @@ class Session:
             try:
                 made = build()
             except CompileError as e:
-                out.diagnostics += [d if d.region else replace(d, region=getattr(build, "__name__", "").strip("<>")) for d in e.diagnostics]
+                out.diagnostics += [d if d.region else dataclass_replace(d, region=getattr(build, "__name__", "").strip("<>")) for d in e.diagnostics]
                 continue
             out.types = made.types if isinstance(made, Relation) else {"": made.type} if isinstance(made, Expr) else {}
         if out.diagnostics:
@@ -111,6 +130,8 @@ class Session:
         schema = self.catalog.schemas.find(self.catalog.path[0])
         if schema.storage.find(table.name) is not None:
             raise fail(Code.INCONSISTENT_ELEMENTS, f"table {table.name} exists already")
+        # Names of types stand for what the schemas say.
+        table.columns[:] = [dataclass_replace(c, type=self.type(c.type.name)) if c.type.kind == "declared" and not c.type.elements else c for c in table.columns]
         for c in table.columns:
             if c.type.kind in ("unknown", "error", "pending"):
                 raise fail(Code.UNSUPPORTED_TYPE, f"{c.name} has no type")

@@ -371,3 +371,24 @@ def test_let_evaluates_once(spark):
     r = Relation(spark.range(200).toDF("i")).project(v=X.let(drawn, lambda v: X.compare("=", v, v)), w=X.let(drawn, lambda v: v - v))
     assert {(x["v"], x["w"]) for x in r.df.collect()} == {(True, 0.0)}
     assert "element_at" not in str(X.between(r["i"], 1, 2).column)
+
+
+def test_options_and_named_types(spark):
+    from bramble.plans.gates import Options
+    from bramble.plans.planner import explain
+
+    seen = {}
+    for hint, inline in ((True, True), (False, False)):
+        session = Session(spark, options=Options(hint, inline))
+        schema = session.catalog.schemas.find("public")
+        schema.variables.add("x", Variable("x", T.INT4, 7))
+        schema.types.add("money", T.declared("money", T.decimal(12, 2)))
+        r = session.register("r", spark.range(20).selectExpr("cast(id as int) as a", "cast(id as int) as b"))
+        term = Term(any=(Term("a", "=", 1), Term(all=(Term("a", "=", 3), Term("b", ">", 2)))))
+        seen[hint] = rows(session.filter(r, term)), rows(r.filter(lambda x: x["a"] == session.variable("x")).select("b"))
+        plan = explain(r.filter(lambda x: x["a"] == session.variable("x")).df)
+        assert ("element_at" in plan) != inline
+        made = session.create_table(Table("priced", [Column("k", T.INT4), Column("p", T.declared("money"))]))
+        assert T.to_spark(made.column("p").type).simpleString() == "decimal(12,2)"
+        assert code(lambda: session.create_table(Table("bad", [Column("p", T.declared("nothing"))]))) is Code.UNSUPPORTED_TYPE
+    assert seen[True] == seen[False] and seen[True][1] == [(7,)]
