@@ -206,9 +206,9 @@ def _hash_piece(data: bytes) -> np.ndarray:
     return hash_ranges(letters, start, stop)[0]
 
 
-def word_hashes(text: str | None, alnum: bool = False) -> np.ndarray:
+def word_hashes(text: str | bytes | None, alnum: bool = False) -> np.ndarray:
     """64-bit hashes of a text's words: runs of what isn't ASCII white space with A-Z lowered, or those of `alnum_words`."""
-    data = text.encode("utf-8", "surrogatepass").translate(_TO_WORDS if alnum else _TO_SPACED) if text else b""
+    data = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").translate(_TO_WORDS if alnum else _TO_SPACED)
     if len(data) <= _PIECE:
         return _hash_piece(data)
     out, at = [], 0

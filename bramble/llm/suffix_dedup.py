@@ -17,6 +17,7 @@ same search over words, as 64-bit hashes, finds passages that repeat word for wo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import digest, materialize, mix64, powers, probable, table, text_sl
 
 LENGTH, GRAM = 400, 64
 #: Words of a passage, and of the grams that anchor it.
-PASSAGE, PASSAGE_GRAM = 50, 8
+PASSAGE, PASSAGE_GRAM = 50, 6
 SHARD_BYTES = 2 << 20
 #: Runs of one anchor that one shard takes: about the same number of bytes.
 RUNS_A_SHARD = 4000
@@ -36,9 +37,20 @@ _SLICE = 4 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 
 
-def symbols(text: str | None, words: bool) -> np.ndarray:
+def symbols(text: bytes | None, words: bool) -> np.ndarray:
     """What a text is a string of: its bytes, or its words (A-Z lowered, apart by white space)."""
-    return word_hashes(text) if words else np.frombuffer(text.encode("utf-8", "surrogatepass") if text else b"", np.uint8)
+    return word_hashes(text) if words else np.frombuffer(text or b"", np.uint8)
+
+
+def _bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
+    """Texts as their UTF-8 bytes."""
+    return batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def _windows_of_eight(data: np.ndarray, kind: str) -> np.ndarray:
+    """Eight bytes from each place on as one number; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data), kind, padded, strides=(1,)).astype(np.uint64)
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -73,10 +85,7 @@ def _first_ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     if data.dtype != np.uint8:
         order = np.argsort(data)
         return order, np.concatenate([[True], data[order][1:] != data[order][:-1]]), 1
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = key << np.uint64(8) | padded[j : j + n]
+    key = _windows_of_eight(data, ">u8")
     # The last suffixes, of fewer than eight bytes, come before longer ones of the same key.
     short = max(n - 7, 0)
     order = np.argsort(key[:short])
@@ -131,13 +140,16 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, ends: np.ndarray, most:
     by_text[order] = np.arange(n)
     by_text = by_text[by_text >= 0]
     i, j = order[by_text], before[by_text]
-    room = np.where(j < 0, 0, np.minimum(ends[i] - i, ends[np.maximum(j, 0)] - j))
-    follows = np.concatenate([[False], (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1) & (j[:-1] >= 0) & (data[i[:-1]] == data[np.maximum(j[:-1], 0)]) & (ends[i[1:]] == ends[i[:-1]]) & (ends[np.maximum(j[1:], 0)] == ends[np.maximum(j[:-1], 0)])])
+    left = np.maximum(j, 0)
+    room = np.where(j < 0, 0, np.minimum(ends[i] - i, ends[left] - j))
+    last = np.zeros(len(data), bool)  # of a text
+    last[np.unique(ends) - 1] = True
+    joined = (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1) & (j[:-1] >= 0)
+    at = np.flatnonzero(joined)
+    joined[at] = (data[i[at]] == data[j[at]]) & ~last[i[at]] & ~last[j[at]]
+    follows = np.concatenate([[False], joined])
     if data.dtype == np.uint8:
-        step, padded = 8, np.concatenate([data, np.zeros(8, np.uint8)])
-        words = np.zeros(len(data), np.uint64)
-        for b in range(8):
-            words |= padded[b : b + len(data)].astype(np.uint64) << np.uint64(8 * b)
+        step, words = 8, _windows_of_eight(data, "<u8")
     else:
         step, words = 1, data
     prefix = np.zeros(n, np.int64)
@@ -199,7 +211,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             of, found, wholes = [np.zeros(0, np.int64)], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            for k, text in enumerate(_bytes(batch, "text")):
                 data = symbols(text, words)
                 view, width = memoryview(data.tobytes()), data.itemsize
                 for h, first, last in anchored_runs(data, length, gram):
@@ -228,7 +240,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 64):
             cols: list[list] = [[], [], [], [], [], []]
-            for k, (text, wants) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+            for k, (text, wants) in enumerate(zip(_bytes(batch, "text"), batch.column("wanted").to_pylist(), strict=True)):
                 data = symbols(text, words)
                 for w in wants:
                     for col, v in zip(cols, (k, w["h"], w["first"], data[w["first"] : w["last"] + length].tobytes(), w["copies"], w["shards"]), strict=True):
@@ -312,8 +324,8 @@ def _lists(spans: DataFrame, name: str) -> DataFrame:
     return spans.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and n_repeated_words, its words in passages of
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM, sha256: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, or with sha256 their digest in hex as kept_sha256), and n_repeated_words, its words in passages of
     `passage` words or more that are found elsewhere too, word for word, of however few bytes.
 
     Texts are their UTF-8 bytes; a null text is empty. Matches lie within texts and are
@@ -328,17 +340,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 64):
             n, gone, runs, kept, words = [], [], [], [], []
-            for text, spans, passages in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "passages")), strict=True):
-                data = text.encode("utf-8", "surrogatepass") if text else b""
+            for text, spans, passages in zip(_bytes(batch, "text"), batch.column("spans").to_pylist(), batch.column("passages").to_pylist(), strict=True):
+                data = text or b""
                 ranges = _merged(spans)
                 n.append(len(data))
                 gone.append(sum(b - a for a, b in ranges))
                 runs.append(len(ranges))
-                kept.append(b"".join(data[a:b] for a, b in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(data)], strict=True)))
+                left = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(data)], strict=True)) if ranges else data
+                kept.append(hashlib.sha256(left).hexdigest() if sha256 else left)
                 words.append(sum(b - a for a, b in _merged(passages)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(words, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_repeated_words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if sha256 else pa.binary()), pa.array(words, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if sha256 else "kept", "n_repeated_words"])
 
-    return held.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_repeated_words long")
+    return held.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if sha256 else 'kept binary'}, n_repeated_words long")
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -354,4 +367,4 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents without strings of 400 bytes that start elsewhere too; nulls, empty and repeated rows as remove_repeats says, an empty table has no rows."""
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words")
+    return remove_repeats(table(spark, sf_dir, "documents"), sha256=True)
