@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import digest, free_name, materialize, mix64, probable, table, text_slices, word_hashes
+from .common import digest, free_name, materialize, mix64, probable, table, temporary, text_slices, word_hashes
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -280,10 +280,11 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     Rows without an id come last. Rows that are equal in id and text are one; texts without
     words are in no component, and stay.
     """
-    rows, labels = link_rows(docs, words, percent, id_col, text_col, alnum=True)
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("twin") == F.col("first.twin")))
     id_, of, nth = (free_name(docs.columns, x) for x in ("gone_id", "gone_twin", "nth"))
-    gone = rows.join(labels, "node").where(later).select(F.col("doc_id").alias(id_), F.col("twin").alias(of)).distinct()
+    with temporary(docs.sparkSession):
+        rows, labels = link_rows(docs, words, percent, id_col, text_col, alnum=True)
+        gone = materialize(rows.join(labels, "node").where(later).select(F.col("doc_id").alias(id_), F.col("twin").alias(of)).distinct(), "gone", keep=True)
     held = docs.join(gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(of)), "left_anti")
     twins = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
     return held.withColumn(nth, F.row_number().over(twins)).where(F.col(nth) == 1).select(docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest, materialize, mix64, powers, probable, table, text_slices, word_hashes
+from .common import digest, materialize, mix64, powers, probable, table, temporary, text_slices, word_hashes
 
 LENGTH, GRAM = 400, 64
 #: Words of a passage, and of the grams that anchor it.
@@ -319,9 +319,10 @@ def _merge(windows: DataFrame, length: int, schema: str) -> DataFrame:
     return sorted_.mapInArrow(search, schema).select("doc_id", "twin", "start", "stop")
 
 
-def _lists(spans: DataFrame, name: str) -> DataFrame:
-    """All ranges of a text in one row."""
-    return spans.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias(name))
+def _lists(rows: DataFrame, name: str, *search) -> DataFrame:
+    """All ranges of a text in one row, written; what the search wrote besides is deleted."""
+    with temporary(rows.sparkSession):
+        return materialize(repeated_spans(rows, *search).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias(name)), name, keep=True)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM, sha256: bool = False) -> DataFrame:
@@ -333,7 +334,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     everything; repeated rows are copies of each other.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spans = _lists(repeated_spans(rows, length, gram), "spans").join(_lists(repeated_spans(rows, passage, passage_gram, words=True), "passages"), ["doc_id", "twin"], "full")
+    spans = _lists(rows, "spans", length, gram).join(_lists(rows, "passages", passage, passage_gram, True), ["doc_id", "twin"], "full")
     held = rows.withColumn("twin", F.xxhash64("text")).join(spans, ["doc_id", "twin"], "left").select("doc_id", "text", "spans", "passages")
     kind = docs.schema[id_col].dataType.simpleString()
 
