@@ -17,13 +17,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_mod, materialize, slices, table, worker_state
 
-#: Documents of each language that are learned from, about (by a hash of their ids): the bound of the fit.
+#: Documents of each language that op7 learns from, about (by a hash of their ids): the bound of its fit. The pipeline's fit has none.
 FIT_DOCS = 400
 ROUNDS, SMOOTH = 3, 0.01
 UNKNOWN = 1e-7
@@ -33,6 +33,8 @@ LONG_WORD = 32
 #: the language's training documents. Texts of n letters get SHORT_TEXT / sqrt(n) on top: their means scatter.
 FLOOR_SHARE, FLOOR_MARGIN, SHORT_TEXT = 0.01, 0.5, 3.0
 UNDETERMINED = "und"
+#: Parts of a unit of likelihood per letter that floors are looked for in.
+_BINS = 256
 _CACHE = 300_000
 _RUNS = re.compile(r"[^\W\d_]+")
 _START = "▁"
@@ -71,6 +73,40 @@ def _spans(size: int, longest: int) -> list[tuple[int, int]]:
     return [(i, j) for j in range(1, size + 1) for i in range(max(0, j - longest), j)]
 
 
+def _piece_ids(units: list[str], ids: dict[str, int], longest: int) -> np.ndarray:
+    """Numbers of the pieces at all `_spans` of units of one length. Behind the pieces: what is no piece, and an unknown letter."""
+    spans, get = _spans(len(units[0]), longest), ids.get
+    places = [(i, j, len(ids) + (j == i + 1)) for i, j in spans]
+    return np.array([get(u[i:j], d) for u in units for i, j, d in places], np.int32).reshape(len(units), len(spans))
+
+
+def expected_uses(units: list[str], langs: np.ndarray, counts: np.ndarray, table: np.ndarray, ids: dict[str, int], longest: int) -> np.ndarray:
+    """Expected uses of pieces, shaped as `table` (languages, pieces and what `_piece_ids` has behind them): `expected_counts` of units of one length at once."""
+    size, width = len(units[0]), table.shape[1]
+    if size > LONG_WORD:
+        out = np.zeros(table.shape)
+        for unit, lang, n in zip(units, langs.tolist(), counts.tolist(), strict=True):
+            probs = {s: table[lang, ids[s]] for i, j in _spans(size, longest) if (s := unit[i:j]) in ids}
+            for piece, share in expected_counts(unit, probs, longest).items():
+                if piece in ids:
+                    out[lang, ids[piece]] += n * share
+        return out
+    spans = _spans(size, longest)
+    cells = (_piece_ids(units, ids, longest) + langs[:, None] * width).T
+    p = table.ravel()[cells]
+    alpha, beta = np.zeros((2, size + 1, len(units)))
+    alpha[0] = beta[size] = 1.0
+    for k, (i, j) in enumerate(spans):
+        alpha[j] += alpha[i] * p[k]
+    for k, (i, j) in reversed(list(enumerate(spans))):
+        beta[i] += beta[j] * p[k]
+    for k, (i, j) in enumerate(spans):
+        p[k] *= alpha[i] * beta[j]
+    p /= alpha[size]
+    p[p <= 1e-6] = 0.0
+    return np.bincount(cells.ravel(), (p * counts).ravel(), table.size).reshape(table.shape)
+
+
 def expected_counts(word: str, probs: dict[str, float], longest: int) -> dict[str, float]:
     """Expected uses of each piece in a word, over all segmentations by their probability (forward and backward).
 
@@ -122,10 +158,7 @@ class LanguageModel:
 
     def likelihoods(self, units: list[str]) -> np.ndarray:
         """Probabilities of units of one length in each language, over all segmentations: the forward algorithm, for all units at once."""
-        spans, get = _spans(len(units[0]), self.longest), self.ids.get
-        none, unknown = len(self.ids), len(self.ids) + 1
-        places = [(i, j, unknown if j == i + 1 else none) for i, j in spans]
-        ids = np.array([get(u[i:j], d) for u in units for i, j, d in places], np.int32).reshape(len(units), len(spans))
+        spans, ids = _spans(len(units[0]), self.longest), _piece_ids(units, self.ids, self.longest)
         alpha = np.zeros((len(units[0]) + 1, len(units), len(self.languages)))
         alpha[0] = 1.0
         for k, (i, j) in enumerate(spans):
@@ -244,13 +277,45 @@ def _scorer(name: str, sent) -> Scorer:
     return worker_state(name, lambda: Scorer(sent.value))
 
 
-def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", floors: bool = True) -> LanguageModel:
-    """Learn a model from the rows of `docs` with a language.
+def _quantiles(rows: DataFrame, share: float) -> dict[str, float]:
+    """The quantile of `value` in each `lang`, exact and as numpy interpolates, from counts of bins and the few values where it lies."""
+    rows = rows.select("lang", "value", F.floor(F.col("value") * _BINS).alias("bin"))
+    bins: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("lang", "bin").agg(F.count("*").alias("n")).collect():
+        bins.setdefault(r["lang"], []).append((r["bin"], r["n"]))
+    wanted = []  # the bin of a rank, and its place in there
+    for lang, found in bins.items():
+        last = sum(n for _, n in found) - 1
+        for rank in {int(last * share), min(last, int(last * share) + 1)}:
+            at = 0
+            for number, n in sorted(found):
+                if at <= rank < at + n:
+                    wanted.append((lang, number, rank, rank - at))
+                at += n
+    if not wanted:
+        return {}
+    places = rows.sparkSession.createDataFrame(wanted, "lang string, bin long, rank long, place long")
+    values = rows.join(F.broadcast(places.select("lang", "bin").distinct()), ["lang", "bin"]).groupBy("lang", "bin", "value").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("lang", "bin").orderBy("value")
+    values = values.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(places), ["lang", "bin"]).where("place < upto and place >= upto - n")
+    held: dict[str, dict[int, float]] = {}
+    for r in values.select("lang", "rank", "value").collect():
+        held.setdefault(r["lang"], {})[r["rank"]] = r["value"]
+    out = {}
+    for lang, found in bins.items():
+        low, *high = (held[lang][k] for k in sorted(held[lang]))
+        spot = (sum(n for _, n in found) - 1) * share
+        out[lang] = low + (spot - int(spot)) * (high[0] - low) if high else low
+    return out
 
-    About `fit_docs` documents of each language are read, chosen by a hash of their ids
-    (all where a language has fewer). What comes to the driver is bounded by the
-    vocabulary's size times the number of languages, and a number for each document read.
-    Without floors the model tells languages apart, but not texts that are in none of them.
+
+def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", floors: bool = True) -> LanguageModel:
+    """Learn a model from the rows of `docs` with a language: from all of them, unless `fit_docs` bounds them.
+
+    With a bound, about `fit_docs` documents of each language are read, chosen by a hash of
+    their ids (all where a language has fewer). What comes to the driver is bounded by the
+    vocabulary's size times the number of languages. Without floors the model tells
+    languages apart, but not texts that are in none of them.
     """
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
@@ -258,8 +323,9 @@ def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], {}, [])
-    shares = docs.sparkSession.createDataFrame([(lang, math.ceil(1_000_000 * min(1.0, fit_docs / n))) for lang, n in sizes.items()], "lang string, share long")
-    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share"))  # a row for each language
+    if fit_docs is not None:
+        shares = docs.sparkSession.createDataFrame([(lang, math.ceil(1_000_000 * min(1.0, fit_docs / n))) for lang, n in sizes.items()], "lang string, share long")
+        rows = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share"))  # a row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -273,52 +339,62 @@ def fit(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS
                 for run, n in Counter(letter_runs(text)).items():
                     if unit := word_unit(run):
                         found[lang, unit] += n
-            if len(found) > 200_000:
-                yield out()
-                found.clear()
+                if len(found) > 200_000:
+                    yield out()
+                    found.clear()
         if found:
             yield out()
 
-    words = materialize(sample.select("lang", "text").mapInArrow(count, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n")), "langid")
+    words = materialize(rows.select("lang", "text").mapInArrow(count, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n")), "langid")
     pieces = load_pieces(vocabulary)
-    probs = {lang: dict.fromkeys(pieces, 1.0 / len(pieces)) for lang in languages}
+    ids, number = {p: i for i, p in enumerate(pieces)}, {lang: i for i, lang in enumerate(languages)}
+    probs = np.full((len(languages), len(pieces)), 1.0 / len(pieces))
     longest = max(map(len, pieces))
     context = docs.sparkSession.sparkContext
     for _ in range(ROUNDS):
-        sent = context.broadcast(probs)
+        sent = context.broadcast((ids, number, np.column_stack([probs, np.zeros(len(probs)), np.full(len(probs), UNKNOWN)])))
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total: dict[tuple[str, str], float] = {}
+            ids, number, table = sent.value
+            total = np.zeros(table.shape)
+            by_size: dict[int, list[tuple[str, int, int]]] = {}
+
+            def add(size: int) -> None:
+                units, langs, counts = zip(*by_size.pop(size), strict=True)
+                np.add(total, expected_uses(units, np.array(langs), np.array(counts), table, ids, longest), out=total)
+
             for batch in batches:
                 for lang, unit, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "unit", "n")), strict=True):
-                    for piece, share in expected_counts(unit, sent.value[lang], longest).items():
-                        if piece in sent.value[lang]:
-                            total[lang, piece] = total.get((lang, piece), 0.0) + n * share
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in total], pa.string()), "piece": pa.array([k[1] for k in total], pa.string()), "n": pa.array(list(total.values()), pa.float64())})
-
-        uses = words.mapInArrow(expect, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
-        counts = {lang: dict.fromkeys(pieces, SMOOTH) for lang in languages}
-        for r in uses:
-            counts[r["lang"]][r["piece"]] += r["n"]
-        probs = {lang: {p: v / total for p, v in c.items()} for lang, c in counts.items() if (total := sum(c.values()))}
+                    held = by_size.setdefault(len(unit), [])
+                    held.append((unit, number[lang], n))
+                    if len(held) == 5000:
+                        add(len(unit))
+            for size in list(by_size):
+                add(size)
+            lang, piece = np.nonzero(total[:, : len(ids)])
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.int32()), "piece": pa.array(piece, pa.int32()), "n": pa.array(total[lang, piece])})
+
+        uses = words.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        probs = np.full(probs.shape, SMOOTH)
+        probs[uses.column("lang").to_numpy(), uses.column("piece").to_numpy()] += uses.column("n").to_numpy()
+        probs /= probs.sum(axis=1, keepdims=True)
+        sent.unpersist()
     everything = sum(sizes.values())
-    model = LanguageModel(languages, {p: tuple(probs[lang][p] for lang in languages) for p in pieces}, [sizes[lang] / everything for lang in languages])
+    model = LanguageModel(languages, dict(zip(pieces, map(tuple, probs.T.tolist()), strict=True)), [sizes[lang] / everything for lang in languages])
     if not floors:
         return model
-    sent = context.broadcast(model)
+    sent, name = context.broadcast(model), uuid.uuid4().hex
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)  # for few texts: gone with the task
+        scorer = _scorer(name, sent)
         for batch in slices(batches):
             langs, totals = batch.column("lang").to_pylist(), scorer.totals(batch.column("text").to_pylist())
             found = [(lang, scorer.fit(row, lang)) for lang, row in zip(langs, totals, strict=True) if row[-1]]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in found], pa.string()), "fit": pa.array([x[1] for x in found], pa.float64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in found], pa.string()), "value": pa.array([x[1] for x in found], pa.float64())})
 
-    fits: dict[str, list[float]] = {}
-    for r in sample.select("lang", "text").mapInArrow(measure, "lang string, fit double").collect():
-        fits.setdefault(r["lang"], []).append(r["fit"])
+    fits = materialize(rows.select("lang", "text").mapInArrow(measure, "lang string, value double"), "langid")
     sent.unpersist()
-    model.floors = {lang: float(np.quantile(v, FLOOR_SHARE)) - FLOOR_MARGIN for lang, v in fits.items()}
+    model.floors = {lang: v - FLOOR_MARGIN for lang, v in _quantiles(fits, FLOOR_SHARE).items()}
     return model
 
 
@@ -360,5 +436,5 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of whole documents by what the rows that aren't held out say; null texts and those without a letter are `und`, repeated rows one row each, an empty table has none."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(crc_mod("doc_id", 3) != 1), floors=False)
+    model = fit(docs.where(crc_mod("doc_id", 3) != 1), fit_docs=FIT_DOCS, floors=False)
     return identify(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
