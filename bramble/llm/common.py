@@ -116,6 +116,11 @@ def worker_state(name: Any, build: Callable[[], Any]) -> Any:
     return _state[name]
 
 
+def no_state() -> None:
+    """A Python worker drops what an earlier operator held in it: for operators that need much memory and hold nothing."""
+    _state.clear()
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the decimal text of an id, modulo n."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))

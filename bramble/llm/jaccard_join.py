@@ -8,12 +8,14 @@ are equal. A signature is a set's content in SECOND - SPARE sub-parts of a part;
 such subset is enumerated, so that similar sets share a signature: no link is lost.
 
 Nodes are distinct sets; documents with equal sets are one node. Nodes that share a
-signature are candidates. A sketch of each set (parities of its shingles in 512 slots)
-bounds from below by how many shingles two sets differ; candidates that differ by too
-many are dropped before any text moves, the others are verified on whole sets. To find
-components, a node is held against the first of its bucket; then, in some rounds, against
-a random other one of those still apart from it, which makes large components whole at a
-cost that is linear in the bucket; what is still apart in the end is compared in full.
+signature are candidates. Signatures are shuffled with keys of KEY_BITS bits that stand
+for nodes; nodes of one key all take its signatures, and are candidates too. A sketch of
+each set (parities of its shingles in 512 slots) bounds from below by how many shingles
+two sets differ; candidates that differ by too many are dropped before any text moves,
+the others are verified on whole sets. To find components, a node is held against the
+first of its bucket; then, in some rounds, against a random other one of those still
+apart from it, which makes large components whole at a cost that is linear in the
+bucket; what is still apart in the end is compared in full.
 """
 
 from __future__ import annotations
@@ -23,15 +25,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import digest, free_name, materialize, mix64, probable, table, temporary, text_slices, word_hashes
+from .common import digest, free_name, materialize, mix64, no_state, probable, table, temporary, text_slices, word_hashes
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
 SECOND, SPARE = 3, 1
+#: Bits of signatures and of keys. What signatures lack is zero bytes, which shuffle files compress to nothing.
+SIG_BITS, KEY_BITS = 48, 64
 #: Slots of the sketches, 64 to a long.
 SLOTS = 512
 _SKETCH = [f"k{i}" for i in range(SLOTS // 64)]
@@ -128,6 +133,7 @@ def _sets(texts: DataFrame, words: int, alnum: bool) -> DataFrame:
     schema = T.StructType([texts.schema["doc_id"], T.StructField("twin", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in _SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_state()
         for batch in text_slices(batches, "text"):
             sets = shingles(batch.column("text").to_pylist(), words, alnum)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), *map(pa.array, sketches(sets).T)], names=schema.names)
@@ -136,9 +142,11 @@ def _sets(texts: DataFrame, words: int, alnum: bool) -> DataFrame:
 
 
 def _signature_rows(texts: DataFrame, words: int, percent: int, alnum: bool) -> DataFrame:
-    """A row (sig, node) for each signature of each distinct set of a task."""
+    """A row (sig, key) for each signature of each distinct set of a task; keys as `_key` gives them."""
+    sig_mask, spare_bits = np.uint64((1 << 64) - (1 << 64 - SIG_BITS)), np.int64(64 - KEY_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_state()
         seen: set[bytes] = set()
         for batch in text_slices(batches, "text"):
             new: dict[bytes, np.ndarray] = {}
@@ -147,9 +155,14 @@ def _signature_rows(texts: DataFrame, words: int, percent: int, alnum: bool) ->
                     seen.add(key)
                     new[key] = items
             found, of = signatures(list(new.values()), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(list(new), pa.binary()).take(pa.array(of))], names=["sig", "node"])
+            keys = np.array([xxhash.xxh64_intdigest(node, 42) for node in new], np.uint64).view(np.int64) >> spare_bits
+            yield pa.RecordBatch.from_arrays([pa.array((found & sig_mask).view(np.int64)), pa.array(keys[of])], names=["sig", "key"])
 
-    return texts.mapInArrow(run, "sig long, node binary")
+    return texts.mapInArrow(run, "sig long, key long")
+
+
+def _key() -> Column:
+    return F.shiftright(F.xxhash64("node"), 64 - KEY_BITS)
 
 
 def _may_be_similar(percent: int, a: str = "a_", b: str = "b_") -> Column:
@@ -178,8 +191,8 @@ class _Linker:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are similar. Pairs are sorted by a, whose set is made once for a run of them."""
-        right = pairs.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        both = right.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+        text_a, text_b = (probable(self.texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), pairs.select(x).distinct(), [x]) for x in "ab")
+        both = pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
         words, percent, alnum = self.words, self.percent, self.alnum
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,14 +243,17 @@ def link_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_co
     reps = nodes.select("node", "first.doc_id", "first.twin")
     rows = _signature_rows(probable(texts, reps, ["doc_id", "twin"]).select("text"), words, percent, alnum)
     bucket = Window.partitionBy("sig")
-    rows = rows.withColumn("first", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket)).where("first <> last")
-    shared = materialize(rows, "buckets")
+    rows = rows.withColumn("first", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket)).where("first <> last")
+    keys = nodes.select("node", _key().alias("key"))
+    twins = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    shared = materialize(rows.join(keys, "key").select("sig", "node", "key", "first").union(twins.select(F.col("key").alias("sig"), "node", "key", F.col("key").alias("first"))), "buckets")
     members = materialize(reps.join(shared.select("node").distinct(), "node"), "members").select("node", F.col("doc_id").alias("id"), F.col("twin").alias("of"))
     few = probable(texts, members.select(F.col("id").alias("doc_id"), F.col("of").alias("twin")), ["doc_id", "twin"])
     held = few.join(members, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("twin") == F.col("of"))).select("node", "text").dropDuplicates(["node"])
     linker = _Linker(materialize(held, "texts"), nodes, words, percent, alnum)
 
-    linker.link(linker.bounded(shared.where("node <> first").select(*_ordered("first", "node")).distinct()))
+    pairs = shared.where("key <> first").select("node", "first").distinct()
+    linker.link(linker.bounded(pairs.join(keys.select(F.col("node").alias("other"), F.col("key").alias("first")), "first").select(*_ordered("node", "other")).distinct()))
     apart = shared.select("sig", "node")
 
     def still_apart(rows: DataFrame) -> DataFrame:

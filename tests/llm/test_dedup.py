@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bramble.llm import jaccard_join as J
 from bramble.llm import suffix_dedup as S
@@ -188,3 +189,29 @@ def test_components(spark):
     assert len(set(groups)) == len(groups) == len({find(i) for i in range(len(rows))})  # one row of each component
     assert all(d == label.get(g) for (d, _), g in zip(left, groups, strict=True))
     assert J.link_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("bits", "sig_bits"), [(64, 48), (3, 6), (1, 48)])
+def test_nodes_of_one_key(spark, monkeypatch, bits, sig_bits):
+    """Signatures are shuffled as two longs; different sets with the same key lose no link, nor do those that share signatures by chance."""
+    monkeypatch.setattr(J, "KEY_BITS", bits)
+    monkeypatch.setattr(J, "SIG_BITS", sig_bits)
+    rng = random.Random(13)
+    base = [[str(rng.randint(0, 400)) for _ in range(rng.randint(5, 60))] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        w = list(rng.choice(base))
+        w[rng.randrange(len(w))] = str(rng.randint(0, 999))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = J._signature_rows(df.select("text"), 4, 85, False)
+    assert [f.dataType.simpleString() for f in found.schema] == ["bigint", "bigint"]
+    keys = {r["key"] for r in found.select("key").collect()}
+    own = {i: sets(t, 4) for i, t in rows}
+    nodes = J._sets(df.select("doc_id", F.xxhash64("text").alias("twin"), "text"), 4, False).select(J._key().alias("key"))
+    assert keys == {r["key"] for r in nodes.collect()} and len(keys) <= 2**bits
+    label = {i: i for i in own}
+    for _ in own:
+        label = {i: min(label[j] for j in own if 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j])) for i in own}
+    got = {r["doc_id"]: r["component_id"] for r in J.link_documents(df, 4, 85).collect()}
+    assert got == label and 6 <= len(set(label.values())) < 60
