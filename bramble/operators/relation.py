@@ -17,7 +17,7 @@ from ..functions import registry
 from ..functions.scalar import Expr, compare, comparison_type, expr
 from ..plans.gates import Gates
 from ..types import Category, Type
-from .strategies import broadcast_if_small, fits_in_a_broadcast, interval_join, is_number
+from .strategies import broadcast_if_small, interval_join, is_number, loops_cheaply
 
 JOIN_KINDS = ("inner", "left_outer", "left_outer_at_most_one", "full_outer", "semi", "anti")
 _SEVERAL = "more than one row matches in an at-most-one join"
@@ -180,7 +180,7 @@ class Relation:
         is met), full_outer, semi, anti. Names must differ between the sides.
         strategy: broadcast (if Spark's estimate of the right side bears it out), merge or hash; by
         default Spark decides. An inner join on range terms alone that put a number of one
-        side between two of the other is laid out by bins where no side is small.
+        side between two of the other is laid out by bins unless there are few pairs to try.
         """
         if kind not in JOIN_KINDS:
             raise fail(Code.UNSUPPORTED_FEATURE, f"there is no {kind} join")
@@ -215,7 +215,7 @@ class Relation:
             if on and condition is None and not lower and all(self.df.schema[a].dataType == other.df.schema[b].dataType for a, b in on):
                 return self._at_most_one_by_key(other, on, strategy)
             return self._at_most_one(other, right, where)
-        if kind == "inner" and not on and (interval := self._interval(other, lower)) and not (fits_in_a_broadcast(left) or fits_in_a_broadcast(right)):
+        if kind == "inner" and not on and (interval := self._interval(other, lower)) and not loops_cheaply(left, right):
             return self._of(interval_join(*interval, where).select(*self.types, *other.types), self.types | other.types)
         if where is None and kind == "inner":
             return self._of(left.crossJoin(right), self.types | other.types)

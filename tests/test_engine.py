@@ -280,6 +280,39 @@ def test_interval_join_against_brute_force(spark):
     assert got == sorted(want) and len(want) > 100
 
 
+def test_range_join_without_a_nested_loop(spark):
+    """A side that fits in a broadcast is no reason to try all pairs: their number grows with both sides."""
+    from bramble.plans.planner import explain
+
+    few, many = Relation(spark.range(20000).selectExpr("id a", "id * 10D lo", "id * 10D + 3 hi")), Relation(spark.range(200000).selectExpr("id b", "id + 0.5D x"))
+    terms = [("lo", "<=", "x"), ("hi", ">", "x")]
+    for joined in (few.join(many, lower=terms), many.join(few, lower=[(b, {"<=": ">=", ">": "<"}[op], a) for a, op, b in terms])):
+        assert "NestedLoop" not in explain(joined.df) and "CartesianProduct" not in explain(joined.df)
+        assert joined.df.select("a", "b").agg(F.count("*"), F.countDistinct("a", "b"), F.sum(F.col("b") - 10 * F.col("a"))).first()[:] == (60000, 60000, 60000)
+
+
+def test_interval_join_cuts_crowded_bins(spark, monkeypatch):
+    """Values that crowd in a bin, equal rows and intervals without a width or an end: same pairs, in cells of a bounded number."""
+    import random
+    from collections import Counter
+
+    from bramble.operators import strategies
+
+    monkeypatch.setattr(strategies, "CELL_PAIRS", 100)
+    rng = random.Random(5)
+    inf = float("inf")
+    points = [*(rng.uniform(90, 100) for _ in range(150)), *[95.0] * 150, *(rng.uniform(-1000, 1000) for _ in range(50)), inf, -inf, None]
+    ends = [*((a, a + rng.choice([0.5, 10.0])) for a in (rng.uniform(80, 100) for _ in range(60))), *[(95.0, 95.0)] * 20, *[(94.0, 96.0)] * 20, (-inf, 95.0), (95.0, inf), (None, 1.0), (96.0, 94.0)]
+    left, right = spark.createDataFrame(ends, "lo double, hi double").repartition(3), spark.createDataFrame([(x,) for x in points], "x double").repartition(3)
+    made = strategies.interval_join(left, "lo", "hi", right, "x", F.expr("lo <= x and x <= hi"))
+    want = Counter((a, b, x) for a, b in ends for x in points if None not in (a, b, x) and a <= x <= b)
+    assert made.columns == ["lo", "hi", "x"] and Counter(tuple(r) for r in made.collect()) == want
+    assert "__cell" in made._jdf.queryExecution().toString()
+    sides = [spark.createDataFrame([(3, 7)] * n, "__level int, __bin bigint") for n in (400, 3000)]
+    assert strategies._hot(*sides) == [(3, 7, 40, 300)]  # 10 rows of each side to a cell
+    assert not strategies._hot(*[spark.createDataFrame([(3, 7)] * n, "__level int, __bin bigint") for n in (10, 10)])
+
+
 def test_replace_keeps_a_version_for_readers(spark, tmp_path):
     from bramble.sources.commits import ConflictError, versions
 
